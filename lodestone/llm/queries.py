@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op9_packing
+from .sharding import op8_sharding
 from .toxicity import op1_toxicity
+from .url_filter import op3_url_filter
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_url_filter, op8_sharding, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
