@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op4_jaccard_join
 from .packing import op9_packing
 from .pii import op6_pii
 from .quality import op10_quality
@@ -9,6 +10,6 @@ from .sharding import op8_sharding
 from .toxicity import op1_toxicity
 from .url_filter import op3_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_url_filter, op6_pii, op8_sharding, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_url_filter, op4_jaccard_join, op6_pii, op8_sharding, op9_packing, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
