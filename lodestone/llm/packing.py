@@ -129,9 +129,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def packed(docs: DataFrame, path: str) -> DataFrame:
+    """All pieces, with a digest in place of their ids."""
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    return number(cut(decompose(docs, path).select(*columns), "pieces")).select(*columns, "sequence_id", "offset")
+
+
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    found = decompose(table(spark, sf_dir, "documents"), tokenizer_path()).select(*columns)  # the digest stands for the ids
-    return number(cut(found, "pieces")).select(*columns, "sequence_id", "offset")
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path())
