@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from . import searches, texts  # noqa: E402, F401  they register themselves
