@@ -2,8 +2,8 @@
 
 A document is a bag of sentences. Each sentence has a logistic score over its words; the document's score is their
 noisy-or with a leak term, 1 - (1 - leak) * prod(1 - p_sentence), and that likelihood is what training on document labels
-maximises. Sentence scores then tell which sentences offend. The leak takes up labels that no sentence explains, so
-that a long clean text doesn't gather score from its length.
+maximises. Sentence scores then tell which sentences offend. Sentences without a term that tells have no score, and the leak
+takes up labels that no sentence explains, so a long clean text doesn't gather score from its length.
 
 Defined results: null and empty texts have no sentence and score the leak; a text without letters likewise; repeated rows
 and repeated ids are scored row by row; columns other than doc_id and text aren't read.
@@ -43,16 +43,18 @@ class NoisyOr:
     leak: float = 0.02
 
     def sentence(self, words, known: dict[str, float]) -> float:
-        """known: what words add, kept from sentence to sentence."""
-        z = self.bias
+        """known: what words add, kept from sentence to sentence. A sentence without a term has no score."""
+        z, any_term = self.bias, False
         for w in words:
             x = known.get(w)
             if x is None:
                 if len(known) >= KNOWN_WORDS:
                     known.clear()
                 x = known[w] = sum(self.weights.get(f, 0.0) for f in features(w))
-            z += x
-        return 1 / (1 + math.exp(-z)) if z > -30 else 0.0
+            if x:
+                z += x
+                any_term = True
+        return 1 / (1 + math.exp(-z)) if any_term and z > -30 else 0.0
 
     def document(self, scores) -> float:
         rest = 1 - self.leak
@@ -115,13 +117,15 @@ def train(rows: list[tuple[str, int]], max_terms: int = 20_000, least: float = 1
     for d, bag in enumerate(bags):
         for s in bag:
             ids = [vocab[f] for w in s for f in features(w) if f in vocab]
+            if not ids:
+                continue
             col += ids
             row += [len(owner)] * len(ids)
             owner.append(d)
     col, row, owner = np.array(col, np.int64), np.array(row, np.int64), np.array(owner, np.int64)
     n, m, k = len(rows), len(owner), len(vocab)
     theta = np.zeros(k + 2)
-    theta[k], theta[k + 1] = -4.0, math.log(0.02 / 0.98)
+    theta[k], theta[k + 1] = -2.0, math.log(0.02 / 0.98)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         w, b, leak = theta[:k], theta[k], 1 / (1 + math.exp(-theta[k + 1]))
@@ -137,7 +141,7 @@ def train(rows: list[tuple[str, int]], max_terms: int = 20_000, least: float = 1
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad**2
         theta = theta - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
-        theta[k] = min(theta[k], -4.0)
+        theta[k] = min(theta[k], -1.0)
     names = list(vocab)
     return NoisyOr({names[i]: float(theta[i]) for i in range(k)}, float(theta[k]), float(1 / (1 + math.exp(-theta[k + 1]))))
 

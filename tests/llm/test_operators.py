@@ -1,0 +1,287 @@
+"""Each operator on small tables against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import jaccard_join, media, neighbours, packing, pieces, pii, quality, sharding, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, keep string"
+
+
+def docs(spark, texts, ids=None):
+    rows = [(ids[i] if ids else i, t, "en" if i % 3 else None, f"src{i % 4}" if i % 5 else None, len(t or ""), 0.5, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+ODD = [None, "", " ", "one", "word " * 30_000, "x" * 20_000, "é\U0001f600 ñ\u2028z", "+1 (017) 555-7713 a@b.co", "1" * 9000, "\x00\x1c"]
+
+
+def words(rng, n):
+    return " ".join(rng.choice([f"w{i}" for i in range(3000)], n))
+
+
+# --- near duplicates
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        s = set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        sets.setdefault(i, []).append(s)
+    ids = sorted(sets)
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+                ra, rb = find(a), find(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    return {i: find(i) for i in ids}
+
+
+def test_components_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = list(ODD)
+    for n in (5, 7, 12, 40, 150):
+        base = words(rng, n).split()
+        for k in range(30):  # a group of near copies with ever more edits
+            w = list(base)
+            for at in rng.integers(0, n, k % 6):
+                w[at] = f"e{rng.integers(1e9)}"
+            texts.append(" ".join(w))
+    texts += [words(rng, 60) for _ in range(40)]
+    texts += [texts[20]] * 6 + [texts[21].upper()]
+    ids = list(range(100, 100 + len(texts)))
+    ids[-1] = ids[30]  # a repeated id with another text
+    out = jaccard_join.classes(docs(spark, texts, ids)).collect()
+    want = brute_components(list(zip(ids, texts, strict=True)))
+    assert len(out) == len(texts)
+    assert {r.doc_id: r.component_id for r in out} == want
+    assert len(set(want.values())) < len(want)
+
+
+def test_components_with_every_token_frequent(spark, monkeypatch):
+    """All keys are then pairs of tokens."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0)
+    monkeypatch.setattr(jaccard_join, "FREQUENT_SIGMA", 0.0)
+    rng = np.random.default_rng(6)
+    base = [words(rng, n).split() for n in (9, 30, 80)]
+    texts = [" ".join(w if rng.random() > 0.01 * (k % 5) else f"e{k}" for w in b) for b in base for k in range(25)]
+    out = jaccard_join.classes(docs(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute_components(list(enumerate(texts)))
+
+
+def test_components_of_nothing(spark):
+    assert jaccard_join.classes(docs(spark, [])).collect() == []
+    out = jaccard_join.classes(docs(spark, [None, "a b", "a b"], [None, 7, 7])).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in out if r.doc_id) == [(7, 7), (7, 7)]
+
+
+# --- personal data
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in PATTERNS for m in re.finditer(p, text or "") if ok(m.group())]
+
+
+def test_base_spans_equal_the_patterns(spark):
+    rng = np.random.default_rng(2)
+    parts = ["a@b.c", "a@b.c_d@e.f", "x.y@z", "é@a.b.c", "1.2.3.4.5.6.7.8", "300.1.2.3.4", "0255.1.1.1", "4111 1111-1111 1111", "4111111111111112", "1" * 25, "5", "5 5", "+1 (017) 555-7713", "+123", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "++1 555 000 1111", " ", "-", "\U0001f600", "..", "%+-@", "@@", "\n"]
+    texts = ODD + ["".join(rng.choice(parts, 12)) for _ in range(300)]
+    out = {r.doc_id: r for r in pii.find(docs(spark, texts), (0.0, [], [])).select("doc_id", pii.joined(F.col("_base")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert out[i].s == ",".join(base(t)), t
+
+
+def test_candidates_like_the_known_are_added_and_base_stays(spark):
+    texts = [f"mail: n{i}@host{i % 7}.org, or call {i}" for i in range(300)] + [f"at x{i}@home and {i} 22" for i in range(200)] + ["mail: josé@exämple.org."] * 3
+    d = docs(spark, texts)
+    model = pii.fit(d)
+    out = pii.find(d, model).select("doc_id", pii.joined(F.col("_base")).alias("b"), pii.joined(F.col("_spans")).alias("s")).collect()
+    assert all(set(filter(None, r.b.split(","))) <= set(r.s.split(",")) for r in out)
+    assert sum(r.s != r.b for r in out if r.doc_id >= 500) == 3
+    assert all(r.s == r.b for r in out if 300 <= r.doc_id < 500)
+    red = {r.doc_id: r.text for r in pii.redact(d, model).collect()}
+    assert red[0] == "mail: [EMAIL], or call 0" and red[501] == "mail: [EMAIL]." and red[300] == texts[300]
+
+
+def test_no_documents_no_spans(spark):
+    assert pii.find(docs(spark, [])).count() == 0
+
+
+# --- packing, sharding, pieces
+
+
+def test_packing_round_trip(spark):
+    texts = [*ODD, "Same text here", "Same text here"]
+    path = packing.tokenizer_path()
+    out = packing.pack(docs(spark, texts), path).collect()
+    t = packing.Ids(path).tokenizer
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.doc_id].append(r)
+    for i, text in enumerate(texts):
+        own = sorted(by[i], key=lambda r: r.start)
+        ids = np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist()
+        assert ids == [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        assert all(r.length & (r.length - 1) == 0 and r.doc_tokens == len(ids) and r.offset == 0 and zlib.crc32(r.ids) == r.ids_crc32 for r in own)
+    assert sorted(r.sequence_id for r in out) == list(range(len(out)))
+    assert packing.pack(docs(spark, []), path).count() == 0
+
+
+@pytest.mark.parametrize("bucket_rows", [20_000, 3])
+def test_shards_are_contiguous_and_even(spark, bucket_rows):
+    rng = np.random.default_rng(3)
+    texts = [*ODD[:4], *("same" for _ in range(60)), *(words(rng, int(n)) for n in rng.integers(1, 60, 150))]
+    out = sharding.prefix_shards(sharding.with_size(docs(spark, texts)), 7, bucket_rows).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+    for r in out:
+        raw = (texts[r.doc_id] or "").encode()
+        assert r["size"] == len(raw) + 16 and r.text_crc32 == zlib.crc32(raw)
+    rows = sorted(out, key=lambda r: r.start)
+    assert [r.start for r in rows] == np.concatenate(([0], np.cumsum([r["size"] for r in rows])[:-1])).tolist()
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+    total, largest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+    for k in range(7):
+        own = [r for r in rows if r.shard == k]
+        assert abs(sum(r["size"] for r in own) - total / 7) <= largest and [r.slot for r in own] == list(range(len(own)))
+
+
+def test_no_rows_no_shards(spark):
+    assert sharding.prefix_shards(sharding.with_size(docs(spark, [])), 4).count() == 0
+
+
+def test_pieces_decode_and_do_not_depend_on_partitions(spark):
+    d, path = docs(spark, ODD), pieces.model_path()
+    a, b = (pieces.encode(x, path).orderBy("doc_id").collect() for x in (d, d.repartition(7)))
+    assert [r.ids for r in a] == [r.ids for r in b]
+    back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(d, path), path).collect()}
+    assert all(back[i] == (t or "") for i, t in enumerate(ODD))
+    other = pieces.encode(d, path, seed=1).orderBy("doc_id").collect()
+    assert [r.ids for r in other] != [r.ids for r in a]
+
+
+# --- neighbours
+
+
+def test_neighbours_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 16)).astype(np.float32)
+    x[100:140] = x[100]  # ties
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    rows += [(700, None, 1), (720, [0.0] * 16, 1), (740, [float("nan")] * 16, 1), (760, [None] * 16, 1), (780, [], 1), (800, [1.0, 2.0], 1), (None, [1.0] * 16, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
+    out = neighbours.search(df, lambda i: i % 20 == 0, 20, block=200, queries=16).collect()
+    ids, y = np.arange(700), x.astype(np.float64)
+    got = collections.defaultdict(dict)
+    for r in out:
+        got[r.query_id][r["rank"]] = (r.vec_id, r.score)
+    assert set(got) == set(range(0, 700, 20))
+    hits = 0
+    for q, want in neighbours.brute(ids, y, ids[::20]):
+        mine = [got[q][k] for k in range(1, 21)]
+        assert [v for v, _ in sorted(mine, key=lambda p: (-p[1], p[0]))] == [v for v, _ in mine]
+        assert all(math.isclose(s, float(y[v] @ y[q]), rel_tol=1e-12, abs_tol=1e-12) for v, s in mine)
+        hits += len({v for v, _ in mine} & set(want))
+    assert hits >= 0.9 * 20 * 35
+    few = neighbours.search(df.where("vec_id < 5"), lambda i: i == 0, 20).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
+    assert neighbours.search(df.where("vec_id > 5000"), lambda i: i == 0).count() == 0
+
+
+# --- urls
+
+
+def test_hosts_paths_and_rules(spark):
+    urls = ["HTTP://A.Example.COM/en/7x?q#f", "http://b.com/en/9", "http://xcom/en/9", "x.net/de/1", None, "", "http://a.net/de/1", "a://example.net/de/8", "a://example.net?/de/8", "http://É.org/es/#/", "http://org/es/1", "http://u@h.com:80/en/1", "://net/de/"]
+    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    out = {r.page_id: r for r in url_filter.judge(df).collect()}
+    got = [(out[i].host, out[i].path, out[i].rule) for i in range(len(urls))]
+    assert got == [
+        ("a.example.com", "/en/7x", "example.com/en/7"), ("b.com", "/en/9", "com/en/"), ("xcom", "/en/9", None), ("", "", None), ("", "", None), ("", "", None), ("a.net", "/de/1", "net/de/"), ("example.net", "/de/8", "example.net/de/8"),
+        ("example.net", "", None), ("É.org", "/es/", "org/es/"), ("org", "/es/1", "org/es/"), ("u@h.com:80", "/en/1", None), ("net", "/de/", "net/de/"),
+    ]
+    says = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert all(r.verdict == says[r.rule] if r.rule else r.verdict in ("allow", "block") for r in out.values())
+    assert url_filter.judge(df.limit(0)).count() == 0
+
+
+# --- classifiers
+
+
+def labelled(spark, n=240):
+    good = "the of and in to a is that it for on with as was at by be this from are words here. "
+    texts = [good + words(np.random.default_rng(i), 20) + (". you vilething" if i % 4 == 0 else "") for i in range(n)]
+    texts = [" ".join(f"{w}%%% JUNK!!" for w in t.split()[:10]) if i % 5 == 0 else t for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 4 == 0 and i % 5 != 0)) for i in range(n)] + [(None, 1, 1), (3, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    return docs(spark, texts), labels
+
+
+def test_toxicity_scores_and_spans(spark):
+    d, labels = labelled(spark)
+    out = {r.doc_id: r for r in toxicity.score(d, toxicity.fit(d, labels), carry=False).collect()}
+    right = sum((out[i].predicted == 1) == (i % 4 == 0 and i % 5 != 0) for i in range(240))
+    assert right >= 235 and all(0 <= r.score <= 1 for r in out.values())
+    assert any(out[4].spans)
+    odd = toxicity.score(docs(spark, ODD), toxicity.fit(d, labels)).collect()
+    assert len(odd) == len(ODD)
+    none = toxicity.score(d, toxicity.fit(d, labels.limit(0))).agg(F.max("predicted")).first()[0]
+    assert none == 0
+
+
+def test_quality_keeps_good_and_rejects_junk(spark):
+    d, labels = labelled(spark)
+    out = {r.doc_id: r for r in quality.classify(d.drop("score", "keep"), labels).collect()}
+    assert sum(out[i]["keep"] == (i % 5 != 0) for i in range(240)) >= 235
+    assert quality.classify(docs(spark, ODD).drop("score", "keep"), labels).count() == len(ODD)
+    assert quality.classify(docs(spark, []).drop("score", "keep"), labels).count() == 0
+
+
+def test_path_posteriors_shrink_to_their_host(spark):
+    rows = [(i, "big", "a", 2.0) for i in range(200)] + [(300, "big", "b", -2.0)] + [(400 + i, "bad", "a", -3.0) for i in range(200)]
+    e = spark.createDataFrame(rows, "doc_id long, source string, lang string, _z double")
+    out = {(r._host, r._path): r for r in quality.posteriors(e).collect()}
+    rate = lambda r: (r.good_path + r.strength * r.host_rate) / (r.n_path + r.strength)
+    assert rate(out["big", "b"]) > 1 / (1 + math.exp(2)) and rate(out["big", "a"]) > rate(out["bad", "a"])
+    p = 1 / (1 + np.exp(-np.array([r[3] for r in rows])))
+    assert out["big", "a"].global_rate == pytest.approx(p.mean())
+
+
+# --- media
+
+
+def test_copies_are_found(spark):
+    items = [(i, media.write_pgm(media.picture(i))) for i in range(80)] + [(100, media.write_pgm(media.picture(3)))] + [(200, None), (201, b""), (202, b"junk"), (203, b"junk")]
+    out = {r.id: r for r in media.copies(spark.createDataFrame(items, "id long, media binary")).collect()}
+    want = {i: i - i % 8 if i % 8 in (1, 2) else i for i in range(80)} | {100: 3, 200: 200, 201: 201, 202: 202, 203: 202}
+    wrong = [i for i in want if out[i].component_id != want[i]]
+    assert len(wrong) <= 2, wrong
+    assert hashlib.md5(b"junk").hexdigest() and out[202].n_corners == 0
+
+
+def test_no_media(spark):
+    assert media.copies(spark.createDataFrame([], "id long, media binary")).count() == 0

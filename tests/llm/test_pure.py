@@ -1,0 +1,186 @@
+"""What needs no Spark."""
+
+import math
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lodestone.llm import jaccard_join, media, neighbours, packing, pieces, pii, quality, toxicity, url_filter
+
+
+def test_toxic_words_are_found_and_length_does_not_count():
+    clean = "the of and in to a is that it for on with as was at by be this from are. "
+    rows = [(clean * (1 + i % 5) + ("you vilething go. " if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    model = toxicity.train(rows)
+    known = {}
+    score = lambda t: model.document([model.sentence(w, known) for _, _, w in toxicity.sentences(t)])
+    assert score(clean * 3) < 0.2 and score(clean * 500) < 0.3
+    assert score(clean + "what a vilething here. " + clean) > 0.7
+    assert score("") == pytest.approx(model.leak)
+
+
+def test_sentences_cover_words_and_cut_long_runs():
+    text = "one two. three\n" + "word " * 200
+    spans = list(toxicity.sentences(text))
+    assert text[spans[0][0] : spans[0][1]] == "one two."
+    assert len(spans) == 2 + math.ceil(200 / toxicity.SENTENCE_WORDS)
+
+
+@given(st.integers(1, 20_000))
+def test_pieces_are_powers_of_two_and_cover(n):
+    at = 0
+    for start, length in packing.pieces(n):
+        assert start == at and length & (length - 1) == 0 and length <= packing.MOST
+        at += length
+    assert at == n
+
+
+def test_ids_equal_the_tokenizers_own():
+    ids = packing.Ids(packing.tokenizer_path())
+    for text in ("", " ", "Hello there  WORLD's end", "a<|endoftext|>b c", "x\x1cy\u3000z \x85 é é", "12a34 !!?", "q" * 300):
+        want = ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(next(ids.texts([text])), "<u4").tolist() == want
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(max_size=80), st.integers(0, 2**62))
+def test_sampled_pieces_decode_to_the_text(text, key):
+    model = MODEL()
+    raw = text.encode("utf-8", "replace")
+    chunks = pieces.CHUNKS.findall(raw)
+    assert b"".join(chunks) == raw
+    if chunks:
+        again = [pieces.Sampler(model, 0)(chunks, np.full(len(chunks), key), np.arange(len(chunks)))[0] for _ in range(2)]
+        assert model.decode(again[0].tolist()) == raw and (again[0] == again[1]).all()
+
+
+def MODEL(kept=[]):  # noqa: B006
+    if not kept:
+        kept.append(pieces.Model(pieces.model_path()))
+    return kept[0]
+
+
+def test_sampling_follows_the_lattice_probabilities():
+    model, chunk, n = MODEL(), b" then", 40_000
+    weights = {}
+
+    def paths(at, ids, w):
+        if at == len(chunk):
+            weights[tuple(ids)] = w
+            return
+        paths(at + 1, [*ids, model.byte_id[chunk[at]]], w * model.byte_weight)
+        node = model.root
+        for j in range(at, len(chunk)):
+            node = node[0].get(chunk[j])
+            if node is None:
+                break
+            if node[1] >= 0:
+                paths(j + 1, [*ids, node[1]], w * node[2])
+
+    paths(0, [], 1.0)
+    total = sum(weights.values())
+    ids, number = pieces.Sampler(model, 3)([chunk] * n, np.arange(n), np.zeros(n, np.int64))
+    ends = np.cumsum(number)
+    seen = {}
+    for a, b in zip(ends - number, ends, strict=True):
+        seen[tuple(ids[a:b].tolist())] = seen.get(tuple(ids[a:b].tolist()), 0) + 1
+    for path, w in weights.items():
+        p = w / total
+        assert abs(seen.get(path, 0) / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
+def shingles(words):
+    if not words:
+        return set()
+    return {tuple(words)} if len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.randoms(use_true_random=False), st.integers(1, 120), st.integers(0, 12), st.booleans())
+def test_similar_sets_share_a_signature(rng, n, edits, frequent):
+    """For any ranks, and so for any counts in the sketch."""
+    tokens = np.array([rng.getrandbits(64) for _ in range(n + edits)], np.uint64)
+    x, y = np.unique(tokens[:n]), np.unique(tokens[min(edits, n - 1) :])
+    rank = np.random.default_rng(rng.getrandbits(32)).integers(100 if frequent else 0, 256, 1 << 10).astype(np.uint8)
+    both = len(np.intersect1d(x, y))
+    if 100 * both >= 80 * (len(x) + len(y) - both):
+        (a, at), (b, bt) = jaccard_join.signatures(x, rank), jaccard_join.signatures(y, rank)
+        shared = np.intersect1d(a, b)
+        assert len(shared)
+        room = [min(len(x) - at[a == k].min(), len(y) - bt[b == k].min()) * 9 >= (len(x) + len(y)) * 4 for k in shared]
+        assert any(room)
+
+
+def test_shingles_follow_the_words():
+    f = jaccard_join.Shingles()
+    for text in ("", "  \t", "One", "a b c d", "a b c d e", "A B c D e f\x0bg", "x " * 20, "é É a b c d"):
+        words = text.encode().lower().split()
+        assert len(f(text.encode())) == len(shingles(words))
+    assert (f(b"A b\nC d") == f(b"a B c  D")).all()
+    assert jaccard_join.digest(f(b"a b c d")) != jaccard_join.digest(f(b"a b c"))
+
+
+def test_neighbours_in_a_block_reach_recall():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((3000, 32))
+    x *= rng.uniform(0.5, 2, (3000, 1))  # lengths differ
+    ids, most = np.arange(3000), float(np.sqrt((x * x).sum(1).max()))
+    unit = x / most
+    block = neighbours.Block(np.column_stack([unit, np.sqrt(np.maximum(1 - (unit * unit).sum(1), 0))]), x, ids)
+    hits = 0
+    for i, want in neighbours.brute(ids, x, ids[::100]):
+        q = x[i]
+        got, scores = block.search(np.append(q / np.linalg.norm(q), 0), q, i, float(np.linalg.norm(q)) * most, 20, -math.inf)
+        assert i not in got and np.allclose(scores, x[got] @ q)
+        hits += len(set(got.tolist()) & set(want))
+    assert hits >= 0.9 * 20 * 30
+
+
+def test_url_model_tells_classes_apart():
+    good, bad = [f"http://a{i}.example.net/de/{i}" for i in range(300)], [f"http://spam{i}.example.com/en/{i}" for i in range(300)]
+    counts = np.zeros((2, 2, url_filter.CELLS))
+    for c, urls in enumerate((good, bad)):
+        _, ctx, gram = url_filter.grams(urls[:200])
+        counts[c, 0] = np.bincount(ctx.ravel(), minlength=url_filter.CELLS)
+        counts[c, 1] = np.bincount(gram.ravel(), minlength=url_filter.CELLS)
+    model = url_filter.Ratio(counts)
+    assert (model.score(good[200:]) < 0).all() and (model.score(bad[200:]) > 0).all()
+    assert model.score([""]).tolist() == [0.0]
+    assert np.allclose(model.score([*good[:3], *bad[:3]]), np.concatenate([model.score(good[:3]), model.score(bad[:3])]))
+
+
+def test_trees_learn_and_equal_their_numbers():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 10, (600, 4)).astype(float)
+    y = ((x[:, 0] > 4) & (x[:, 2] < 7)).astype(float)
+    start, trees = pii.boost(x, y)
+    z = start + sum(pii.at(t, x) for t in trees)
+    assert ((z > 0) == (y > 0)).mean() > 0.98
+
+
+def test_quality_features_of_odd_texts():
+    f = quality.features([None, "", " ", "a" * 5000, "x\n" * 1000, "é%%% ñ$$$"])
+    assert f.shape == (6, quality.N_FEATURES) and np.isfinite(f).all() and (f[:2] == 0).all()
+
+
+def test_pictures_copies_share_descriptors():
+    tests = pattern = media.pattern()
+    assert pattern.shape == (media.TURNS, media.BITS, 2, 2) and np.abs(pattern).max() <= media.EDGE
+    a, crop, edit, other = (media.describe(media.picture(i)[None], tests)[0] for i in (8, 9, 10, 11))
+    bits = lambda ds: {d[3] for d in ds}
+    assert len(bits(a) & bits(crop)) >= media.AGREE and len(bits(a) & bits(edit)) >= 3
+    assert len(bits(a) & bits(other)) == 0
+
+
+@pytest.mark.parametrize("raw", [None, b"", b"P5", b"P5 2 2 255\nabcd", b"P6 2 2 255\nabcdabcdabcd", b"\x00" * 40, b"P5 x y 255\n", b"P5 99999 99999 255\n1"])
+def test_unreadable_media(raw):
+    a = media.read_pgm(raw)
+    assert a is None or a.shape == (2, 2)
+    assert (media.read_pgm(media.write_pgm(np.arange(12).reshape(3, 4))) == np.arange(12).reshape(3, 4)).all()
+
+
+def test_crc_of_pieces_is_that_of_the_bytes():
+    assert zlib.crc32(np.array([1], "<u4").tobytes()) == 2583214201
