@@ -234,13 +234,13 @@ def javascript(text: str) -> list[Element]:
     for m in re.finditer(r"^(export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(\w+)\s*\(", b.masked, re.M):
         add(m, m.group(2), kind_of(m.group(2), b.body(m.end() - 1)), at=m.end() - 1)
         exported |= {m.group(2): b.line(m.start())} if m.group(1) else {}
-    for m in re.finditer(r"^(export\s+(?:default\s+)?)?(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=(?!=)\s*(?:async\s*)?(?=(\([^;{}]*\)|\w+)\s*(?::[^={]+)?=>|function\b|(.))", b.masked, re.M):
+    for m in re.finditer(r"^(export\s+(?:default\s+)?)?(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=(?!=)\s*(?:async\s*)?(?=(\([^;\n]*?\)|\w+)\s*(?::[^={]+)?=>|function\b|(.))", b.masked, re.M):
         name = m.group(2)
         exported |= {name: b.line(m.start())} if m.group(1) else {}
         if "require(" in b.masked[m.start() : m.end() + 40].split("\n")[0]:
             continue
         rest = b.masked[m.end() : m.end() + 400]
-        if re.match(r"(\([^;{}]*\)|\w+)\s*(?::[^={]+)?=>|function\b", rest):
+        if re.match(r"(\([^;\n]*?\)|\w+)\s*(?::[^={]+)?=>|function\b", rest):
             arrow = m.end() + (rest.find("=>") + 2 if "=>" in rest else 0)
             span = b.body(arrow)
             add(m, name, kind_of(name, span or (m.end(), min(len(text) - 1, m.end() + 400))), at=arrow)
