@@ -105,7 +105,7 @@ def telling_terms(bags: list[list[set[str]]], y: np.ndarray, max_terms: int, lea
     return [w for _, w in found[:max_terms]]
 
 
-def train(rows: list[tuple[str, int]], max_terms: int = 20_000, least: float = 14.0, rounds: int = 200, rate: float = 0.1, l2: float = 1e-4) -> NoisyOr:
+def train(rows: list[tuple[str, int]], max_terms: int = 20_000, least: float = 14.0, rounds: int = 400, rate: float = 0.1, l2: float = 1e-5) -> NoisyOr:
     """Terms that tell, then Adam on the noisy-or likelihood of the documents' labels."""
     y = np.array([v for _, v in rows], float)
     rate_of_toxic = float(y.mean()) if rows else 0.02
