@@ -36,6 +36,8 @@ SLICE = 1 << 14
 FREQUENT, FREQUENT_SIGMA = 32, 4.0
 #: Classes that a task remembers as already indexed, and words whose hash it keeps.
 KNOWN_SETS, KNOWN_WORDS = 300_000, 600_000
+#: Members from which on a key counts as large.
+LARGE_KEY = 24
 #: Partners of a hub that one task compares.
 HUB_PARTNERS = 4_000
 
@@ -197,7 +199,7 @@ def signatures(s: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
                 if not same.any():
                     break
                 a, b = t[:-span][same], t[span:][same]
-                part = mixed(np.minimum(a, b) * COMBINE[0] + np.maximum(a, b) * COMBINE[1] + U(band) * COMBINE[2])
+                part = mixed(np.minimum(a, b) * COMBINE[0] + np.maximum(a, b) * COMBINE[1] + U(band * int(COMBINE[2]) & (1 << 64) - 1))
                 keys.append(part)
                 places.append(np.full(len(part), n_rare, np.int32))
                 span += 1
@@ -351,11 +353,20 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     star = cut(near.groupBy("rep").agg(F.max_by("hub", F.struct("fame", "hub")).alias("star")), "star")
     named = rep.join(star, "rep", "left").select("doc_id", "rep", F.coalesce("star", "rep").alias("star"))
     marked = rows.select("key", "doc_id", "n", "at").join(named, "doc_id")
-    apart = marked.groupBy("key").agg(F.min("star").alias("lo"), F.max("star").alias("hi")).where("lo <> hi").select("key")
-    left = cut(marked.join(apart, "key").groupBy("key", "rep").agg(F.first("star").alias("star"), F.min("n").alias("n"), F.min("at").alias("at")), "apart")
-    a, b = left, left.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "star", "n", "at")))
-    pairs = a.join(b, (a.key == b.key) & (F.col("rep") < F.col("rep2")) & (F.col("star") != F.col("star2")) & allowed("n", "at", "n2", "at2"))
-    pairs = pairs.select(F.col("rep").alias("hub"), F.col("rep2").alias("member")).distinct()
+    by_rep = marked.groupBy("key", "rep").agg(F.first("star").alias("star"), F.min("n").alias("n"), F.min("at").alias("at"))
+    # of each key, its largest star, whose members needn't meet each other; rows that no partner's size suits go
+    sums = by_rep.groupBy("key", "star").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+    tops = sums.groupBy("key").agg(F.max_by("star", F.struct("c", "star")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("stars"), F.min("least").alias("least")).where("stars > 1")
+    suits = (F.col("n") - F.col("at")) * 9 >= (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * 4 / 5))) * 4
+    left = cut(by_rep.join(tops, "key").where(suits).withColumn("h", F.hash("key")).drop("least", "stars"), "apart")
+    # a pair that shares many large keys is made at the smallest of them only
+    large = left.where(F.col("size") >= LARGE_KEY).groupBy("rep").agg(F.collect_set("h").alias("large"))
+    left = left.join(large, "rep", "left")
+    a, b = left.where(F.col("star") != F.col("top")), left.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "star", "n", "at", "large")))
+    once = (F.col("rep") != F.col("rep2")) & (F.col("star") != F.col("star2")) & ((F.col("star2") == F.col("top")) | (F.col("rep") < F.col("rep2")))
+    first_key = (F.col("size") < LARGE_KEY) | (F.array_min(F.array_intersect("large", "large2")) == F.col("h"))
+    pairs = a.join(b, (a.key == b.key) & once & allowed("n", "at", "n2", "at2") & first_key)
+    pairs = pairs.select(F.least("rep", "rep2").alias("hub"), F.greatest("rep", "rep2").alias("member")).distinct()
     known = first.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
     tried = stars.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct()
     second = compared(cut(pairs.join(tried, ["hub", "member"], "left_anti"), "pairs"), "second")
