@@ -25,70 +25,104 @@ THETA = 0.5
 CHUNK = 48
 CHUNKS = re.compile(rb" ?[^ \n]{1,%d}|[ \n]" % (CHUNK - 1))
 #: Weight of a byte piece before THETA, chunks whose filter a task keeps, and chunks sampled at once.
-BYTE_WEIGHT, KNOWN_CHUNKS, AT_ONCE = 1e-9, 120_000, 400_000
+BYTE_WEIGHT, KNOWN_CHUNKS, AT_ONCE = 1e-9, 250_000, 100_000
+#: Bytes of a piece; longer ones aren't used.
+LONGEST = 16
+SLOT_BITS = 16
+
+
+SEED = 1469598103934665603
+
+
+def mixed(h: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a prefix with one more byte."""
+    h = (h ^ (b.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
 
 class Model:
-    """Pieces as bytes by id, and a trie of them: nodes are [children by byte, id or -1, weight]."""
+    """Pieces as bytes by id, and for each length up to LONGEST the sorted hashes of the pieces of that length, with ids and weights."""
 
     def __init__(self, path: str, theta: float = THETA):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes: list[bytes] = []
-        self.root: list = [{}, -1, 0.0]
-        self.byte_id, self.byte_weight = [0] * 256, BYTE_WEIGHT**theta
+        self.byte_weight = BYTE_WEIGHT**theta
+        self.byte_id = np.zeros(256, np.uint16)
         order = sorted((i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))), key=lambda i: (-sp.get_score(i), i))
         rank = {i: k for k, i in enumerate(order)}
+        by: dict[int, list] = {n: [] for n in range(1, LONGEST + 1)}
         for i in range(sp.get_piece_size()):
-            piece = sp.id_to_piece(i)
+            raw = b""
             if sp.is_byte(i):
-                raw = bytes([int(piece[3:5], 16)])
+                raw = bytes([int(sp.id_to_piece(i)[3:5], 16)])
                 self.byte_id[raw[0]] = i
             elif i in rank:
-                raw = piece.replace("▁", " ").encode()
-                node = self.root
-                for b in raw:
-                    node = node[0].setdefault(b, [{}, -1, 0.0])
-                node[1], node[2] = i, (1.0 / (rank[i] + 10)) ** theta
-            else:
-                raw = b""
+                raw = sp.id_to_piece(i).replace("▁", " ").encode()
+                if len(raw) <= LONGEST:
+                    h = np.full(1, SEED, np.uint64)
+                    for b in np.frombuffer(raw, np.uint8):
+                        h = mixed(h, np.array([b]))
+                    by[len(raw)].append((h[0], i, (1.0 / (rank[i] + 10)) ** theta))
             self.bytes.append(raw)
-
-    def filtered(self, chunk: bytes) -> tuple[list[int], list[float], list[int], list[int]]:
-        """By end node: number of edges; over all edges: share of the node's weight up to the edge, start node and id."""
-        n = len(chunk)
-        total = [0.0] * (n + 1)
-        total[0] = 1.0
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            here, node = total[i], self.root
-            b = chunk[i]
-            w = here * self.byte_weight
-            into[i + 1].append((w, i, self.byte_id[b]))
-            total[i + 1] += w
-            for j in range(i, n):
-                node = node[0].get(chunk[j])
-                if node is None:
-                    break
-                if node[1] >= 0:
-                    w = here * node[2]
-                    into[j + 1].append((w, i, node[1]))
-                    total[j + 1] += w
-        counts, share, start, ids = [], [], [], []
-        for j in range(1, n + 1):
-            counts.append(len(into[j]))
-            up, whole = 0.0, total[j]
-            for w, i, t in into[j]:
-                up += w
-                share.append(up / whole)
-                start.append(i)
-                ids.append(t)
-            share[-1] = 1.0
-        return counts, share, start, ids
+        self.table = []
+        for n in range(1, LONGEST + 1):
+            rows = [*by[n], (0, 0, 0.0)]  # the last one is found where nothing is
+            keys = np.array([h for h, _, _ in rows], np.uint64)
+            self.table.append((keys, np.array([i for _, i, _ in rows], np.uint16), np.array([w for _, _, w in rows]), *self.slots(keys)))
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys by two parts of their hashes, for those that the first part doesn't tell apart."""
+        one, two = np.full(1 << SLOT_BITS, len(keys) - 1, np.int32), np.full(1 << SLOT_BITS, len(keys) - 1, np.int32)
+        first = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        one[first[:-1]] = np.arange(len(keys) - 1)
+        left = np.flatnonzero(one[first[:-1]] != np.arange(len(keys) - 1))
+        second = (keys[left] >> np.uint64(20) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        two[second] = left
+        if not (two[second] == left).all():
+            raise ValueError("two pieces share both slots")
+        return one, two
+
+    def find(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, places in the table of length k + 1) of the hashes that are pieces."""
+        keys, _, _, one, two = self.table[k]
+        a = one[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        b = two[(h >> np.uint64(20) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)]
+        hit = np.where(keys[a] == h, a, b)
+        rows = np.flatnonzero(keys[hit] == h)
+        return rows, hit[rows]
+
+    def filtered(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For chunks of equal length (n, bytes): by end node and piece length, the cumulated share of the node's weight, and the piece: (n, bytes, LONGEST + 1).
+
+        The last place is the single-byte edge, whose share comes last.
+        """
+        n, size = chunks.shape
+        columns = np.ascontiguousarray(chunks.T)
+        share, ids = np.zeros((size, LONGEST + 1, n)), np.zeros((size, LONGEST + 1, n), np.uint16)
+        for i in range(size):
+            h = np.full(n, SEED, np.uint64)
+            for k in range(min(LONGEST, size - i)):
+                h = mixed(h, columns[i + k])
+                rows, at = self.find(k, h)
+                share[i + k, k, rows] = self.table[k][2][at]
+                ids[i + k, k, rows] = self.table[k][1][at]
+        ids[:, LONGEST] = self.byte_id[columns]
+        share[:, LONGEST] = self.byte_weight
+        total = np.ones((size + 1, n))
+        for j in range(size):
+            for k in range(min(j + 1, LONGEST)):
+                share[j, k] *= total[j - k]
+            share[j, LONGEST] *= total[j]
+            np.cumsum(share[j], axis=0, out=share[j])
+            total[j + 1] = share[j, LONGEST]
+            share[j] /= total[j + 1]
+        return share.astype(np.float32).transpose(2, 0, 1), ids.transpose(2, 0, 1)
 
     def decode(self, ids) -> bytes:
-        return b"".join([self.bytes[i] for i in ids])
+        return b"".join(map(self.bytes.__getitem__, ids))
 
 
 def uniform(seed: int, key: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
@@ -101,7 +135,7 @@ def uniform(seed: int, key: np.ndarray, place: np.ndarray, step: int) -> np.ndar
 
 
 class Sampler:
-    """Tables of the chunks met, as flat arrays: nodes point to their edges, shares are offset by the node so that one search serves all."""
+    """The filters of the chunks met, one row a node, kept until there are too many."""
 
     def __init__(self, model: Model, seed: int):
         self.model, self.seed = model, seed
@@ -109,48 +143,54 @@ class Sampler:
 
     def clear(self):
         self.place: dict[bytes, int] = {}
-        self.counts, self.share, self.start, self.ids, self.node0 = [], [], [], [], [0]
-        self.size = 0
+        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.share, self.ids, self.used = np.zeros((4096, LONGEST + 1), np.float32), np.zeros((4096, LONGEST + 1), np.uint16), 0
 
-    def arrays(self):
-        if self.size != len(self.place):
-            counts = np.array(self.counts, np.int64)
-            node = np.repeat(np.arange(len(counts)), counts)
-            self.flat = (np.array(self.share) + node, np.array(self.start, np.int64), np.array(self.ids, np.int32), np.array(self.node0, np.int64))
-            self.size = len(self.place)
-        return self.flat
+    def learn(self, chunks: list[bytes]) -> None:
+        by: dict[int, list[bytes]] = {}
+        for c in chunks:
+            by.setdefault(len(c), []).append(c)
+        need_rows, need = self.used + sum(map(len, chunks)), len(self.place) + len(chunks)
+        if need_rows > len(self.share):
+            self.share, self.ids = (np.concatenate([x[: self.used], np.zeros((need_rows * 3 // 2 - self.used, LONGEST + 1), x.dtype)]) for x in (self.share, self.ids))
+        if need > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(need * 3 // 2 - len(x), np.int64)]) for x in (self.first, self.size))
+        for n, group in by.items():
+            for k in range(0, len(group), 4096):
+                part = group[k : k + 4096]
+                share, ids = self.model.filtered(np.frombuffer(b"".join(part), np.uint8).reshape(-1, n))
+                rows = len(part) * n
+                self.share[self.used : self.used + rows], self.ids[self.used : self.used + rows] = share.reshape(rows, -1), ids.reshape(rows, -1)
+                at = len(self.place)
+                self.first[at : at + len(part)], self.size[at : at + len(part)] = self.used + np.arange(len(part)) * n, n
+                self.place.update(zip(part, range(at, at + len(part)), strict=True))
+                self.used += rows
 
     def __call__(self, chunks: list[bytes], key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in a row, how many for each chunk)."""
-        if len(self.place) > KNOWN_CHUNKS:
+        kinds = dict.fromkeys(chunks)
+        missing = [c for c in kinds if c not in self.place]
+        if len(self.place) + len(missing) > KNOWN_CHUNKS:
             self.clear()
-        known = self.place
-        for c in chunks:
-            if c not in known:
-                known[c] = len(known)
-                counts, share, start, ids = self.model.filtered(c)
-                self.counts += counts
-                self.share += share
-                self.start += start
-                self.ids += ids
-                self.node0.append(self.node0[-1] + len(c))
-        which = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-        share, start, ids, node0 = self.arrays()
-        end = node0[which + 1] - node0[which]  # node reached, counted within the chunk
+            missing = list(kinds)
+        self.learn(missing)
+        which = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        first, end = self.first[which], self.size[which].copy()  # end: the node reached, counted within the chunk
         live, made, number = np.arange(len(chunks)), [], np.zeros(len(chunks), np.int64)
         step = 0
         while len(live):
-            node = node0[which[live]] + end[live] - 1
-            edge = np.searchsorted(share, node + uniform(self.seed, key[live], place[live], step), "right")
-            made.append((live, ids[edge]))
+            node = first[live] + end[live] - 1
+            u = uniform(self.seed, key[live], place[live], step).astype(np.float32)
+            edge = np.minimum((self.share[node] <= u[:, None]).sum(1), LONGEST)
+            made.append((live, self.ids[node, edge]))
             number[live] += 1
-            end[live] = start[edge]
+            end[live] -= np.where(edge == LONGEST, 1, edge + 1)
             live = live[end[live] > 0]
             step += 1
-        first = np.cumsum(number) - number
+        begin = np.cumsum(number) - number
         out = np.empty(int(number.sum()), np.int32)
         for s, (at, got) in enumerate(made):
-            out[first[at] + number[at] - 1 - s] = got
+            out[begin[at] + number[at] - 1 - s] = got
         return out, number
 
 

@@ -65,20 +65,22 @@ def MODEL(kept=[]):  # noqa: B006
 
 def test_sampling_follows_the_lattice_probabilities():
     model, chunk, n = MODEL(), b" then", 40_000
+    rank = {}
+    for k, ids in enumerate(model.table):
+        for i, w in zip(ids[1].tolist()[:-1], ids[2].tolist()[:-1], strict=True):
+            assert len(model.bytes[i]) == k + 1
+            rank[model.bytes[i]] = (i, w)
     weights = {}
 
     def paths(at, ids, w):
         if at == len(chunk):
             weights[tuple(ids)] = w
             return
-        paths(at + 1, [*ids, model.byte_id[chunk[at]]], w * model.byte_weight)
-        node = model.root
-        for j in range(at, len(chunk)):
-            node = node[0].get(chunk[j])
-            if node is None:
-                break
-            if node[1] >= 0:
-                paths(j + 1, [*ids, node[1]], w * node[2])
+        paths(at + 1, [*ids, int(model.byte_id[chunk[at]])], w * model.byte_weight)
+        for j in range(at + 1, len(chunk) + 1):
+            if chunk[at:j] in rank:
+                i, v = rank[chunk[at:j]]
+                paths(j, [*ids, i], w * v)
 
     paths(0, [], 1.0)
     total = sum(weights.values())
