@@ -108,15 +108,15 @@ N_FEATURES = 15
 
 def with_candidates(docs: DataFrame) -> DataFrame:
     """Adds _candidates: start, end, features x and base (whether a base span overlaps)."""
-    text, each = F.col("_text"), []
-    for g, (_, pattern, first) in enumerate(GENERATORS):
-        found = F.when(text.rlike(first), located(text, pattern)).otherwise(nothing())
-        each.append(
-            F.transform(found, lambda s, g=g: F.struct(
-                F.lit(g).alias("g"), s["start"].alias("start"), s["end"].alias("end"), F.array(*features(text, s, g)).alias("x"),
-                F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])).alias("base"),
-            ))
+    text = F.col("_text")
+
+    def described(g: int):  # a lambda with a default would get the place as its second argument
+        return lambda s: F.struct(
+            F.lit(g).alias("g"), s["start"].alias("start"), s["end"].alias("end"), F.array(*features(text, s, g)).alias("x"),
+            F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])).alias("base"),
         )
+
+    each = [F.transform(F.when(text.rlike(first), located(text, pattern)).otherwise(nothing()), described(g)) for g, (_, pattern, first) in enumerate(GENERATORS)]
     return docs.withColumn("_candidates", F.concat(*each))
 
 
@@ -211,7 +211,8 @@ def find(docs: DataFrame, model=None, **how) -> DataFrame:
 
     kind = lambda c: F.when(c["g"] == 0, F.lit("email")).otherwise(F.lit("number"))
     out = out.withColumn("_added", F.transform(F.filter("_candidates", chosen), lambda c: F.struct(kind(c).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
-    merged = F.concat(*(F.array_sort(F.filter(F.concat("_base", "_added"), lambda s, k=k: s["kind"] == k)) for k in KINDS))
+    of_kind = lambda k: lambda s: s["kind"] == k
+    merged = F.concat(*(F.array_sort(F.filter(F.concat("_base", "_added"), of_kind(k))) for k in KINDS))
     return out.withColumn("_spans", F.when(F.size("_added") > 0, merged).otherwise(F.col("_base")))
 
 
