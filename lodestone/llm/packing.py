@@ -28,8 +28,12 @@ END = 1
 #: Parts that a bucket of equal lengths is dealt into for numbering.
 PARTS = 512
 #: Words whose ids a task keeps at once, and the longest of them, in characters.
-KNOWN_WORDS, LONGEST_WORD = 200_000, 64
-BLANK = re.compile("[ \n\r\t]+")
+KNOWN_WORDS, LONGEST_WORD = 600_000, 64
+#: Characters of the texts whose words are looked up together.
+AT_ONCE = 400_000
+BETWEEN = "<|endoftext|>"
+#: Where a text holds a blank other than these four, it is cut at these only: not all libraries agree on the others.
+BLANK, ODD_BLANK = re.compile("[ \n\r\t]+"), re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def pieces(n: int, most: int = MOST) -> list[tuple[int, int]]:
@@ -47,33 +51,40 @@ def pieces(n: int, most: int = MOST) -> list[tuple[int, int]]:
 
 
 class Ids:
-    """Little-endian ids of texts, word by word."""
+    """Little-endian ids of texts, word by word. Words not met yet are encoded together, with a special token between them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
         self.known: dict[str, bytes] = {}
 
     def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def text(self, text: str) -> bytes:
-        known, words = self.known, [w for w in BLANK.split(text) if w]
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        long = {w: None for w in missing if len(w) > LONGEST_WORD}
-        missing = [w for w in missing if w not in long]
+        one = self.tokenizer.encode_batch_fast([BETWEEN.join(words)], add_special_tokens=False)[0]
+        ids = np.array(one.ids, "<u4")
+        ends = np.flatnonzero(ids == self.between)
+        if self.between is None or len(ends) != len(words) - 1:  # a word holds the special token itself
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        raw, cuts = ids.tobytes(), (ends * 4).tolist()
+        return [raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """A few texts at a time: all their words are held at once."""
+        known, rare = self.known, {}
+        split = [t.split() if not ODD_BLANK.search(t) else [w for w in BLANK.split(t) if w] for t in texts]
+        missing = dict.fromkeys(w for words in split for w in words if w not in known)
         if len(known) + len(missing) > KNOWN_WORDS:
             known.clear()
-            missing = [w for w in dict.fromkeys(words) if w not in long]
-        for i in range(0, len(missing), 5000):
-            part = missing[i : i + 5000]
-            known.update(zip(part, self.encode(part), strict=True))
-        if long:
-            for w in long:
-                long[w] = self.encode([w])[0]
-            return b"".join([known[w] if w in known else long[w] for w in words])
-        return b"".join([known[w] for w in words])
+            missing = dict.fromkeys(w for words in split for w in words)
+        short = [w for w in missing if len(w) <= LONGEST_WORD]
+        for i in range(0, len(short), 5000):
+            known.update(zip(short[i : i + 5000], self.encode(short[i : i + 5000]), strict=True))
+        for w in missing:
+            if len(w) > LONGEST_WORD:
+                rare[w] = self.encode([w])[0]
+        for words in split:
+            yield b"".join([known[w] if w in known else rare[w] for w in words] if rare else map(known.__getitem__, words))
 
 
 def decompose(docs: DataFrame, path: str, most: int = MOST, end: int = END) -> DataFrame:
@@ -85,8 +96,8 @@ def decompose(docs: DataFrame, path: str, most: int = MOST, end: int = END) -> D
         ids = Ids(path)
         for b in batches:
             owner, cols, held = [], ([], [], [], [], []), 0
-            for i, text in enumerate(b.column("text").to_pylist()):
-                raw = ids.text(text or "") + tail
+            for i, raw in enumerate(ids_of(ids, b.column("text"))):
+                raw += tail
                 n = len(raw) // 4
                 for start, length in pieces(n, most):
                     part = raw[4 * start : 4 * (start + length)]
@@ -99,6 +110,16 @@ def decompose(docs: DataFrame, path: str, most: int = MOST, end: int = END) -> D
                     owner, cols, held = [], ([], [], [], [], []), 0
             yield rows(b, owner, cols)
 
+    def ids_of(ids, column):
+        some, size = [], 0
+        for text in column:
+            some.append(text.as_py() or "")
+            size += len(some[-1])
+            if size > AT_ONCE:
+                yield from ids.texts(some)
+                some, size = [], 0
+        yield from ids.texts(some)
+
     def rows(b, owner, cols):
         start, length, crc, n, part = cols
         return pa.RecordBatch.from_arrays(

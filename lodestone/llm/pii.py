@@ -2,8 +2,8 @@
 
 Base spans come from four patterns, leftmost and non-overlapping, each match then kept or dropped whole. Two generators of high
 recall propose more: anything around an @, and any run of digits with separators. Boosted trees over the candidates' format and
-context, trained from a bounded sample with the base spans as positives, score them; for each generator the threshold is the least
-score that reached a set precision on held-out candidates. Chosen candidates that overlap no base span are added.
+context, trained from a bounded sample with the base spans as positives, score them; for each generator the threshold lies
+midway between the least score that reached a set precision on held-out candidates and the next one, or even odds. Chosen candidates that overlap no base span are added.
 
 A column of spans is an array of struct(kind, start, end), in code points, end exclusive, ordered by kind as in KINDS, then start.
 Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; a table without
@@ -29,7 +29,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone", "number")
 
-MAIL_LIKE = r"(?:(?<![^\s@,;:<>\"'()|\[\]])|\G)[^\s@,;:<>\"'()|\[\]]++@[^\s@,;:<>\"'()|\[\]]++"
+MAIL_LIKE = r"(?:(?<![^\s@,;:<>\"'()|\[\]])|\G)[^\s@,;:<>\"'()|\[\]]++@[^\s@,;:<>\"'()|\[\]]*[\p{L}0-9]"
 NUMBER_LIKE = r"(?<![0-9])[+(]?+[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+"
 CUE = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|cell|host|addr|card|visa|iban|account|ssn)[^0-9A-Za-z]{0,4}\z"
 #: Generators: (name, pattern, a text must match this first).
@@ -189,7 +189,8 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_candidates: int = 8_000, pr
         zs, good = z[own][order], np.cumsum(y[~learn][own][order])
         exact = good / np.arange(1, len(zs) + 1)
         fine = [i for i in range(len(zs)) if exact[i] >= precision and (i + 1 == len(zs) or zs[i + 1] < zs[i]) and zs[i] > 0]
-        limits.append(float(zs[fine[-1]]) if fine and good[-1] >= 20 else math.inf)
+        below = zs[fine[-1] + 1] if fine and fine[-1] + 1 < len(zs) else 0.0
+        limits.append(float((zs[fine[-1]] + max(below, 0.0)) / 2) if fine and good[-1] >= 20 else math.inf)
     return start, trees, limits
 
 

@@ -118,9 +118,9 @@ def test_base_spans_equal_the_patterns(spark):
 
 
 def test_candidates_like_the_known_are_added_and_base_stays(spark):
-    texts = [f"mail: n{i}@host{i % 7}.org, or call {i}" for i in range(300)] + [f"at x{i}@home and {i} 22" for i in range(200)] + ["mail: josé@exämple.org."] * 3
+    texts = [f"mail: {'ann' if i % 2 else f'n{i}'}@{'host' if i % 3 else f'h{i % 7}'}.org, or call {i}" for i in range(300)] + [f"at x{i}@home and {i} 22" for i in range(200)] + ["mail: josé@höst.org."] * 3  # the known pattern takes ASCII only
     d = docs(spark, texts)
-    model = pii.fit(d)
+    model = pii.fit(docs(spark, texts[:500]))
     out = pii.find(d, model).select("doc_id", pii.joined(F.col("_base")).alias("b"), pii.joined(F.col("_spans")).alias("s")).collect()
     assert all(set(filter(None, r.b.split(","))) <= set(r.s.split(",")) for r in out)
     assert sum(r.s != r.b for r in out if r.doc_id >= 500) == 3
