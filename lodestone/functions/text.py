@@ -39,7 +39,7 @@ def like(text: Column | str, query: str) -> Column:
 
 
 def non_blank_length(text: Column | str) -> Column:
-    return F.length(F.regexp_replace(col(text), r"(?U)\s", ""))
+    return F.length(F.regexp_replace(col(text), r"(?U)[\s\x1c-\x1f]", ""))
 
 
 def token_count(text: Column | str) -> Column:

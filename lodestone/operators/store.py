@@ -89,10 +89,8 @@ class Store:
         lang, framework = X.language_of("file_path"), X.framework_of_file("text")
         rows = fresh.join(counts, fresh.id == counts.file_id, "left").drop("file_id").join(kinds, fresh.id == kinds.file_id, "left").drop("file_id")
         lines = F.size(X.lines("text"))
-        self.append("code_files", rows.select(
-            "id", "repo_name", "file_path", "content_hash", lang.alias("language"), framework.alias("framework"), F.to_json(F.struct("element_type_counts")).alias("structure_json"), F.coalesce("element_count", F.lit(0)).alias("element_count"),
-            F.lit(commit).alias("latest_commit"), F.to_json(F.struct(lang.alias("language"), lines.alias("total_lines"), F.coalesce("element_count", F.lit(0)).alias("total_elements"))).alias("summary_json"), F.current_timestamp().alias("indexed_at"),
-        ))
+        total = files.agg(F.count("*").alias("n"), F.count_if(bad | F.col("text").isNull()).alias("failed")).first()
+        out = {"total_files": total.n, "failed_files": total.failed, "indexed_files": fresh.count(), "blocks": blocks.count(), "elements": found.count()}
         self.append("code_blocks", blocks.withColumn("metadata", F.create_map(F.lit("title"), F.col("title"))))
         self.append("special_patterns", blocks.select(F.col("id").alias("code_block_id"), F.explode("special_patterns").alias("pattern_type")).withColumn("id", F.xxhash64("code_block_id", "pattern_type")))
         text = X.with_context(X.prepare("content"), F.col("language"), F.col("framework"), F.col("chunk_type"))
@@ -103,22 +101,37 @@ class Store:
         linked = linked.join(of, "element_id", "left")
         self.append("semantic_elements", linked.select(F.col("element_id").alias("id"), "file_id", "element_type", "name", "start_line", "end_line", F.col("parent_id").alias("parent_element_id"), "associated_block_ids", F.create_map(F.lit("kind"), F.col("kind")).alias("metadata")))
         self.append("file_versions", fresh.select(F.xxhash64("id", F.lit(commit or "")).alias("id"), F.col("id").alias("file_id"), F.lit(commit).alias("git_commit"), F.current_timestamp().alias("commit_timestamp"), F.lit(False).alias("is_deleted")))
-        total = files.agg(F.count("*").alias("n"), F.count_if(bad | F.col("text").isNull()).alias("failed")).first()
-        out = {"total_files": total.n, "failed_files": total.failed, "indexed_files": fresh.count(), "blocks": blocks.count(), "elements": found.count()}
+        # last, as a file counts as stored once its row is there; writing it also voids what is cached from that table
+        self.append("code_files", rows.select(
+            "id", "repo_name", "file_path", "content_hash", lang.alias("language"), framework.alias("framework"), F.to_json(F.struct("element_type_counts")).alias("structure_json"), F.coalesce("element_count", F.lit(0)).alias("element_count"),
+            F.lit(commit).alias("latest_commit"), F.to_json(F.struct(lang.alias("language"), lines.alias("total_lines"), F.coalesce("element_count", F.lit(0)).alias("total_elements"))).alias("summary_json"), F.current_timestamp().alias("indexed_at"),
+        ))
         for df in (fresh, found, blocks):
             df.unpersist()
         return out
 
     # -- deleting
 
+    def repair(self) -> None:
+        """Removes rows without a file, which an interrupted index() leaves."""
+        files = self.table("code_files").select(F.col("id").alias("file_id"))
+        for name in ("code_blocks", "semantic_elements", "file_versions"):
+            self.rewrite(name, self.table(name).join(files, "file_id", "left_semi").select(*self._columns(name)))
+        blocks = self.table("code_blocks").select(F.col("id").alias("code_block_id"))
+        for name in ("embeddings", "special_patterns"):
+            self.rewrite(name, self.table(name).join(blocks, "code_block_id", "left_semi").select(*self._columns(name)))
+
+    @staticmethod
+    def _columns(name: str) -> list[str]:
+        return [c.split()[0] for c in SCHEMAS[name].split(", ")]
+
     def _delete(self, ids: DataFrame) -> None:
         ids = ids.select(F.col("id").alias("file_id")).persist()
         blocks = self.table("code_blocks").join(ids, "file_id", "left_semi").select(F.col("id").alias("code_block_id")).persist()
         gone = {"embeddings": (blocks, "code_block_id"), "special_patterns": (blocks, "code_block_id"), "semantic_elements": (ids, "file_id"), "code_blocks": (ids, "file_id"), "file_versions": (ids, "file_id"), "code_files": (ids.withColumnRenamed("file_id", "id"), "id")}
         blocks.count()
         for name, (keys, on) in gone.items():
-            columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            self.rewrite(name, self.table(name).join(keys, on, "left_anti").select(*columns))
+            self.rewrite(name, self.table(name).join(keys, on, "left_anti").select(*self._columns(name)))
         ids.unpersist(), blocks.unpersist()
 
     def delete_file(self, repo_name: str, file_path: str) -> bool:

@@ -19,7 +19,7 @@ FENCES = {".py": "python", ".js": "javascript", ".jsx": "jsx", ".ts": "typescrip
 
 
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = INDEXED_EXTENSIONS, recursive: bool = True) -> DataFrame:
-    """(path, name, length, modified, content) of the files under root whose name ends so, as written; None takes all. Folder pruning and the glob reach the listing."""
+    """(path, name, length, modified, content) of the files under root whose name ends so, as written; None takes all. The glob reaches the listing; Spark's reader leaves empty files out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if extensions and len(extensions) == 1:
         reader = reader.option("pathGlobFilter", f"*{extensions[0]}")
