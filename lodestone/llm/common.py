@@ -33,6 +33,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches in which whole texts go to Python workers; lower settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def id_remainder(doc_id, mod: int):
     """crc32 of the id's decimal text modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

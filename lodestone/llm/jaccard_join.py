@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 SHINGLE = 5
 SKETCH_BITS = 22
@@ -35,7 +35,7 @@ SLICE = 1 << 14
 #: A token is frequent from this count above its cell's expected load on, plus FREQUENT_SIGMA times the load's deviation.
 FREQUENT, FREQUENT_SIGMA = 32, 4.0
 #: Classes that a task remembers as already indexed, and words whose hash it keeps.
-KNOWN_SETS, KNOWN_WORDS = 300_000, 600_000
+KNOWN_SETS, KNOWN_WORDS = 200_000, 200_000
 #: Members from which on a key counts as large.
 LARGE_KEY = 24
 #: Partners of a hub that one task compares.
@@ -98,16 +98,14 @@ def survey(docs: DataFrame) -> DataFrame:
         shingles, total = Shingles(), np.zeros(cells, np.uint32)
         names = ["doc_id", "n", "h1", "h2", "slice", "counts"]
         for b in batches:
-            n, h1, h2, pending = [], [], [], []
+            n, h1, h2 = [], [], []
             for raw in b.column("raw").to_pylist():
                 s = shingles(raw)
                 n.append(len(s))
                 x, y = digest(s)
                 h1.append(x)
                 h2.append(y)
-                pending.append(s)
-            flat = np.concatenate(pending) if pending else np.empty(0, np.uint64)
-            total += np.bincount((flat & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
+                np.add.at(total, (s & U(cells - 1)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         parts = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(total.reshape(-1, SLICE)) if part.any()]
@@ -230,11 +228,12 @@ def index(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 ids.append(np.full(len(k), i, np.int64))
                 sizes.append(np.full(len(k), len(s), np.int32))
                 held += len(k)
-                if held > 500_000:
+                if held > 200_000:
                     yield batch(keys, ids, sizes, places)
                     keys, ids, sizes, places, held = [], [], [], [], 0
             if keys:
                 yield batch(keys, ids, sizes, places)
+            pa.default_memory_pool().release_unused()
 
     def batch(keys, ids, sizes, places):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (ids, sizes, places))], names=["key", "doc_id", "n", "at"])
@@ -319,6 +318,7 @@ def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(info, links, labels): doc_id, n, rep of every document with an id; links (a, b) between representatives; components of those."""
+    small_batches(docs.sparkSession)
     seen = cut(survey(docs), "survey")
     rank = ranks(seen)
     info = seen.where(F.col("slice").isNull()).select("doc_id", "n", "h1", "h2")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, small_batches
 from .pii import at, boost
 
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\r\n", "stop": b".", "comma": b",;:", "mark": b"!?", "bar": b"|<>{}[]()/\\=_~^", "symbol": b"#$%&*@+"}
@@ -60,6 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, keep=None) ->
 def with_evidence(docs: DataFrame, model: tuple[float, list], carry: bool) -> DataFrame:
     """Adds _z, the log-odds of the classifier; without carry only doc_id, source and lang come along."""
     start, trees = model
+    small_batches(docs.sparkSession)
     source = docs if carry else docs.select("doc_id", "source", "lang", "text")
     names = [c for c in source.columns if carry or c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names)

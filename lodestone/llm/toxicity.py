@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, labelled_sample
+from .common import id_remainder, labelled_sample, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
@@ -31,7 +31,7 @@ SENTENCE_WORDS = 64
 #: Lengths of the word beginnings that count as terms.
 BEGINNINGS = (4, 5, 6)
 #: Words whose weight a task keeps at once.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 
 
 @dataclass
@@ -156,6 +156,7 @@ def score(docs: DataFrame, model: NoisyOr, offending: float = 0.5, threshold: fl
 
     With carry, all columns of docs come back, followed by the last three, whose names must then be free.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns if carry else ["doc_id"]
     source = docs if carry else docs.select("doc_id", "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names)
