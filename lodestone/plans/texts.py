@@ -374,3 +374,23 @@ def n3_fragments(spark, d):
     ls = S.lines(spark, d)
     e = S.elements(ls)
     return present.fragments(relate.assigned(S.line_blocks(ls).withColumnRenamed("block_id", "chunk_id"), e, "doc_id"), e, "doc_id")
+
+
+@query("j13_fence_pairs", f"""WITH {S.LINES}, f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS end_pos FROM lines WHERE pos % 3 = 0)
+SELECT doc_id, pos AS start_pos, end_pos, 'py' AS language FROM f WHERE nth % 2 = 1""")
+def j13_fence_pairs(spark, d):
+    """Every third line is made a fence."""
+    ls = S.lines(spark, d).withColumn("line", F.when(F.col("pos") % 3 == 0, "```py").otherwise(F.col("line")))
+    return detect.fences(ls, "doc_id")
+
+
+@query("n7_chunk_display", "SELECT doc_id, 'Chunk 1-' || 5 || ' CODE' || CASE WHEN lang = 'en' THEN ' [en]' ELSE '' END || ' ' || source AS shown FROM documents")
+def n7_chunk_display(spark, d):
+    shown = present.chunk_line(F.lit(0), F.lit(5), F.lit("code"), F.when(F.col("lang") == "en", F.col("lang")), F.col("source"))
+    return docs(spark, d).select("doc_id", shown.alias("shown"))
+
+
+@query("n4_markdown_tree")
+def n4_markdown_tree(spark, d):
+    p = table(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.lit("a").alias("path"), sources.html_as_markdown(F.col("html")).alias("text"))
+    return present.structure_tree(detect.elements(p, "markdown").withColumn("page", F.col("file_id")), "page")
