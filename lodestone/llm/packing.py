@@ -13,6 +13,7 @@ rows give repeated pieces with sequences of their own; columns other than doc_id
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -21,17 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 MOST = 2048
 END = 1
 #: Parts that a bucket of equal lengths is dealt into for numbering.
 PARTS = 512
 #: Words whose ids a task keeps at once, and the longest of them, in characters.
-KNOWN_WORDS, LONGEST_WORD = 600_000, 64
+KNOWN_WORDS, LONGEST_WORD = 400_000, 64
 #: Characters of the texts whose words are looked up together.
 AT_ONCE = 400_000
 BETWEEN = "<|endoftext|>"
+#: Punctuation that the tokenizer never joins with a letter or digit before it; the apostrophe isn't of this kind.
+TAIL = '.,;:!?%*&$#|)("-_/\\@=+<>[]{}~^`'
 #: Where a text holds a blank other than these four, it is cut at these only: not all libraries agree on the others.
 BLANK, ODD_BLANK = re.compile("[ \n\r\t]+"), re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -69,17 +72,26 @@ class Ids:
         raw, cuts = ids.tobytes(), (ends * 4).tolist()
         return [raw[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
+    @staticmethod
+    def stem(w: str) -> int:
+        """Where the punctuation that ends the word begins, if ids can be cut there: after a letter or digit, outside special tokens."""
+        n = len(w.rstrip(TAIL))
+        return n if n and unicodedata.normalize("NFC", w[n - 1]).lower()[-1].isalnum() and "<|" not in w else len(w)
+
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """A few texts at a time: all their words are held at once."""
         known, rare = self.known, {}
+        texts = [t.encode("utf-8", "replace").lower().decode() for t in texts]  # A-Z only: the tokenizer folds case itself
         split = [t.split() if not ODD_BLANK.search(t) else [w for w in BLANK.split(t) if w] for t in texts]
         missing = dict.fromkeys(w for words in split for w in words if w not in known)
-        if len(known) + len(missing) > KNOWN_WORDS:
+        if len(known) + 2 * len(missing) > KNOWN_WORDS:
             known.clear()
             missing = dict.fromkeys(w for words in split for w in words)
-        short = [w for w in missing if len(w) <= LONGEST_WORD]
-        for i in range(0, len(short), 5000):
-            known.update(zip(short[i : i + 5000], self.encode(short[i : i + 5000]), strict=True))
+        stems = {w: self.stem(w) for w in missing if len(w) <= LONGEST_WORD}
+        parts = [p for p in dict.fromkeys(p for w, n in stems.items() for p in (w[:n], w[n:]) if p) if p not in known]
+        for i in range(0, len(parts), 5000):
+            known.update(zip(parts[i : i + 5000], self.encode(parts[i : i + 5000]), strict=True))
+        known.update((w, known[w[:n]] + known[w[n:]]) for w, n in stems.items() if n < len(w))
         for w in missing:
             if len(w) > LONGEST_WORD:
                 rare[w] = self.encode([w])[0]
@@ -91,6 +103,7 @@ def decompose(docs: DataFrame, path: str, most: int = MOST, end: int = END) -> D
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens and ids (little-endian, 4 bytes each)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     tail = np.array([end], "<u4").tobytes()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids(path)
