@@ -25,7 +25,7 @@ THETA = 0.5
 CHUNK = 48
 CHUNKS = re.compile(rb" ?[^ \n]{1,%d}|[ \n]" % (CHUNK - 1))
 #: Weight of a byte piece before THETA, chunks whose filter a task keeps, and chunks sampled at once.
-BYTE_WEIGHT, KNOWN_CHUNKS, AT_ONCE = 1e-9, 250_000, 100_000
+BYTE_WEIGHT, KNOWN_CHUNKS, AT_ONCE = 1e-9, 150_000, 100_000
 #: Bytes of a piece; longer ones aren't used.
 LONGEST = 16
 SLOT_BITS = 16
@@ -61,15 +61,15 @@ class Model:
             elif i in rank:
                 raw = sp.id_to_piece(i).replace("▁", " ").encode()
                 if len(raw) <= LONGEST:
-                    h = np.full(1, SEED, np.uint64)
-                    for b in np.frombuffer(raw, np.uint8):
-                        h = mixed(h, np.array([b]))
-                    by[len(raw)].append((h[0], i, (1.0 / (rank[i] + 10)) ** theta))
+                    by[len(raw)].append((raw, i, (1.0 / (rank[i] + 10)) ** theta))
             self.bytes.append(raw)
         self.table = []
         for n in range(1, LONGEST + 1):
-            rows = [*by[n], (0, 0, 0.0)]  # the last one is found where nothing is
-            keys = np.array([h for h, _, _ in rows], np.uint64)
+            rows = [*by[n], (b"", 0, 0.0)]  # the last one is found where nothing is
+            h = np.full(len(rows) - 1, SEED, np.uint64)
+            for column in np.frombuffer(b"".join([r for r, _, _ in rows]), np.uint8).reshape(-1, n).T:
+                h = mixed(h, column)
+            keys = np.append(h, np.uint64(0))
             self.table.append((keys, np.array([i for _, i, _ in rows], np.uint16), np.array([w for _, _, w in rows]), *self.slots(keys)))
 
     @staticmethod
@@ -230,6 +230,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     from pyspark.sql import functions as F
 
+    from .common import small_batches
+
+    small_batches(docs.sparkSession)
     source = docs.select(key, F.col(text).cast("binary").alias("raw"), (F.col(key) if kind in ("bigint", "int", "smallint") else F.xxhash64(key)).cast("long").alias("_k"))
     return source.mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_bytes long")
 
