@@ -49,19 +49,19 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, every:
     """(node, rank) of edges (src, dst, weight); rank that ends in nodes without outgoing edges is spread over all nodes. Lineage is cut every few rounds
     by checkpoint(), where a checkpoint folder is set."""
     edges = edges.persist()
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().persist()
-    n = nodes.count()
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    nodes = nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left").persist()
+    n = max(nodes.count(), 1)
     shares = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).persist()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n)).persist()
     can_cut = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for i in range(rounds):
-        sent = ranks.join(shares, ranks.node == shares.src)
-        got = sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        kept = ranks.join(out.select(F.col("src").alias("node")), "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = nodes.join(got, "node", "left").crossJoin(F.broadcast(kept)).select("node", ((1 - damping) / max(n, 1) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))  # kept is one row
-        ranks = ranks.checkpoint() if can_cut and (i + 1) % every == 0 else ranks.persist()  # each round reads the last one twice
-    return ranks
+        lost = ranks.where("sends is null").agg(F.sum("rank")).first()[0] or 0.0  # one number, and the round before is then cached
+        got = ranks.join(shares, ranks.node == shares.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        new = nodes.join(got, "node", "left").select("node", "sends", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        ranks = new.checkpoint() if can_cut and (i + 1) % every == 0 else new.persist()
+    return ranks.select("node", "rank")
 
 
 def reference_edges(definitions: DataFrame, references: DataFrame) -> DataFrame:
