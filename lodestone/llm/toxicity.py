@@ -85,15 +85,24 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start() + a, m.start() + b, set(WORD.findall(part[a:b].lower()))
 
 
-def telling_terms(bags: list[list[set[str]]], y: np.ndarray, max_terms: int, least: float) -> list[str]:
+def telling_terms(rows: list[tuple[str, int]], max_terms: int, least: float) -> list[str]:
     """Terms found in toxic documents more often than chance explains: n * KL(share || base rate) of `least` nats or more."""
-    df, hit = Counter(), Counter()
-    for bag, v in zip(bags, y, strict=True):
-        terms = {f for w in set().union(*bag) for f in features(w)}
-        df.update(terms)
+
+    def terms(text: str) -> set[str]:
+        words: set[str] = set()
+        for _, _, own in sentences(text):
+            words |= own
+        return {f for w in words for f in features(w)}
+
+    base = min(max(sum(v for _, v in rows) / len(rows), 1e-6), 1 - 1e-6)
+    hit = Counter()
+    for text, v in rows:
         if v:
-            hit.update(terms)
-    base = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
+            hit.update(terms(text))
+    able = {w for w, c in hit.items() if c * -math.log(base) >= least}  # the others fall short even if they are in no other document
+    df = Counter()
+    for text, _ in rows:
+        df.update(able & terms(text))
 
     def nats(w: str) -> float:
         q = hit[w] / df[w]
@@ -101,7 +110,7 @@ def telling_terms(bags: list[list[set[str]]], y: np.ndarray, max_terms: int, lea
             return 0.0
         return df[w] * (q * math.log(q / base) + ((1 - q) * math.log((1 - q) / (1 - base)) if q < 1 else 0.0))
 
-    found = sorted((-x, w) for w in hit if (x := nats(w)) >= least)
+    found = sorted((-x, w) for w in able if (x := nats(w)) >= least)
     return [w for _, w in found[:max_terms]]
 
 
@@ -109,13 +118,12 @@ def train(rows: list[tuple[str, int]], max_terms: int = 20_000, least: float = 1
     """Terms that tell, then Adam on the noisy-or likelihood of the documents' labels."""
     y = np.array([v for _, v in rows], float)
     rate_of_toxic = float(y.mean()) if rows else 0.02
-    bags = [[s for _, _, s in sentences(t)] for t, _ in rows]
-    vocab = {w: i for i, w in enumerate(telling_terms(bags, y, max_terms, least))} if rows else {}
+    vocab = {w: i for i, w in enumerate(telling_terms(rows, max_terms, least))} if rows else {}
     if not vocab:
         return NoisyOr(leak=min(max(rate_of_toxic, 1e-3), 1 - 1e-3))
     col, row, owner = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
+    for d, (text, _) in enumerate(rows):
+        for _, _, s in sentences(text):
             ids = [vocab[f] for w in s for f in features(w) if f in vocab]
             if not ids:
                 continue
