@@ -29,7 +29,7 @@ END = 1
 #: Parts that a bucket of equal lengths is dealt into for numbering.
 PARTS = 512
 #: Words whose ids a task keeps at once, and the longest of them, in characters.
-KNOWN_WORDS, LONGEST_WORD = 400_000, 64
+KNOWN_WORDS, LONGEST_WORD = 600_000, 64
 #: Characters of the texts whose words are looked up together.
 AT_ONCE = 400_000
 BETWEEN = "<|endoftext|>"
@@ -83,7 +83,9 @@ class Ids:
         known, rare = self.known, {}
         texts = [t.encode("utf-8", "replace").lower().decode() for t in texts]  # A-Z only: the tokenizer folds case itself
         split = [t.split() if not ODD_BLANK.search(t) else [w for w in BLANK.split(t) if w] for t in texts]
-        missing = dict.fromkeys(w for words in split for w in words if w not in known)
+        missing: dict[str, None] = {}
+        for words in split:
+            missing.update(dict.fromkeys([w for w in words if w not in known]))
         if len(known) + 2 * len(missing) > KNOWN_WORDS:
             known.clear()
             missing = dict.fromkeys(w for words in split for w in words)
