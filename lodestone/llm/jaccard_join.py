@@ -351,27 +351,31 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     fame = first.groupBy("hub").agg(F.count("*").alias("fame"))
     near = first.join(fame, "hub").select(F.col("member").alias("rep"), "hub", "fame").union(fame.select(F.col("hub").alias("rep"), "hub", "fame"))
     star = cut(near.groupBy("rep").agg(F.max_by("hub", F.struct("fame", "hub")).alias("star")), "star")
-    named = rep.join(star, "rep", "left").select("doc_id", "rep", F.coalesce("star", "rep").alias("star"))
-    marked = rows.select("key", "doc_id", "n", "at").join(named, "doc_id")
+    sized = info.where(F.col("rep").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "n", "rep").distinct()
+    named = sized.join(star, "rep", "left").select("doc_id", "n", "rep", F.coalesce("star", "rep").alias("star"))
+    marked = rows.select("key", "doc_id", "n", "at").join(named, ["doc_id", "n"])
     by_rep = marked.groupBy("key", "rep").agg(F.first("star").alias("star"), F.min("n").alias("n"), F.min("at").alias("at"))
     # of each key, its largest star, whose members needn't meet each other; rows that no partner's size suits go
     sums = by_rep.groupBy("key", "star").agg(F.count("*").alias("c"), F.min("n").alias("least"))
     tops = sums.groupBy("key").agg(F.max_by("star", F.struct("c", "star")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("stars"), F.min("least").alias("least")).where("stars > 1")
     suits = (F.col("n") - F.col("at")) * 9 >= (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * 4 / 5))) * 4
-    left = cut(by_rep.join(tops, "key").where(suits).withColumn("h", F.hash("key")).drop("least", "stars"), "apart")
-    # a pair that shares many large keys is made at the smallest of them only
-    large = left.where(F.col("size") >= LARGE_KEY).groupBy("rep").agg(F.collect_set("h").alias("large"))
-    left = left.join(large, "rep", "left")
+    left = cut(by_rep.join(tops, "key").where(suits).drop("least", "stars"), "apart")
+    # a pair that shares many large keys is made at the first of them in the tokens' order: positions bound the overlap only there.
+    # Ids with several texts mix the texts' places, so their pairs are made at every key.
+    many = rep.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    mixed_up = many.select(F.explode("reps").alias("rep")).distinct()
+    large = left.where(F.col("size") >= LARGE_KEY).groupBy("rep").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "key"))), lambda k: k["key"]).alias("large"))
+    left = left.join(large.join(mixed_up, "rep", "left_anti"), "rep", "left")
     a, b = left.where(F.col("star") != F.col("top")), left.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "star", "n", "at", "large")))
     once = (F.col("rep") != F.col("rep2")) & (F.col("star") != F.col("star2")) & ((F.col("star2") == F.col("top")) | (F.col("rep") < F.col("rep2")))
-    first_key = (F.col("size") < LARGE_KEY) | (F.array_min(F.array_intersect("large", "large2")) == F.col("h"))
+    first_key = (F.col("size") < LARGE_KEY) | F.col("large").isNull() | F.col("large2").isNull() | (F.get(F.array_intersect("large", "large2"), F.lit(0)) == a.key)
     pairs = a.join(b, (a.key == b.key) & once & allowed("n", "at", "n2", "at2") & first_key)
     pairs = pairs.select(F.least("rep", "rep2").alias("hub"), F.greatest("rep", "rep2").alias("member")).distinct()
     known = first.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
     tried = stars.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")).distinct()
     second = compared(cut(pairs.join(tried, ["hub", "member"], "left_anti"), "pairs"), "second")
 
-    many = rep.groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)  # repeated ids with different texts
+    # repeated ids with different texts
     same = many.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
     links = known.union(second).select(F.col("hub").alias("a"), F.col("member").alias("b")).union(same)
     links = cut(links, "links")

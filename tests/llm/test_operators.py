@@ -84,6 +84,21 @@ def test_components_with_every_token_frequent(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == brute_components(list(enumerate(texts)))
 
 
+def overlapping(rng, n, step, size=104):
+    """Windows over one long text, so that each is similar to its neighbours only, with some private words."""
+    long = words(rng, n * step + size + 40).split()
+    return [" ".join([f"p{k}x{j}" for j in range(k % 5)] + long[k * step : k * step + size + int(rng.integers(-6, 7))]) for k in range(n)]
+
+
+def test_components_of_overlapping_groups_of_varying_length(spark, monkeypatch):
+    """Pairs that share only large keys meet at the first of them, where the positions allow it."""
+    monkeypatch.setattr(jaccard_join, "LARGE_KEY", 3)
+    rng = np.random.default_rng(11)
+    texts = [t for step in (3, 4, 5, 6, 7, 8) for t in overlapping(rng, 110, step)]
+    out = jaccard_join.classes(docs(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute_components(list(enumerate(texts)))
+
+
 def test_components_of_nothing(spark):
     assert jaccard_join.classes(docs(spark, [])).collect() == []
     out = jaccard_join.classes(docs(spark, [None, "a b", "a b"], [None, 7, 7])).collect()
