@@ -10,7 +10,9 @@
 3. Each key's members are first compared with its most central member alone (the one with fewest rare tokens before the
    key); only pairs that this leaves in different stars, and whose sizes and positions allow 0.8, are compared next.
    Comparisons are on whole sets, streamed by hub, with hubs of many partners dealt out by salt.
-4. Links between class representatives give the components by hash-to-min with pointer jumping.
+4. Links between class representatives give the components by hash-to-min with pointer jumping. They span each component but
+   aren't all of its links: members of one star don't meet. The number of links comes from comparing all classes of
+   a component whose sizes allow 0.8, block by block; only each block's counts leave its task.
 
 Tokens are compared by 64-bit hashes. Defined results: a null or empty text, or one without words, has the empty set and links
 with nothing; fewer than five words are one token; repeated rows of a doc_id are one document, whose texts all count; a null
@@ -40,6 +42,8 @@ KNOWN_SETS, KNOWN_WORDS = 200_000, 200_000
 LARGE_KEY = 24
 #: Partners of a hub that one task compares.
 HUB_PARTNERS = 4_000
+#: Classes, and their tokens, in a block whose members are all compared for the number of links.
+BLOCK_SETS, BLOCK_TOKENS = 500, 500_000
 
 U = np.uint64
 MULT = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD))
@@ -252,21 +256,25 @@ def allowed(n1: str, at1: str, n2: str, at2: str):
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, tokens) of the wanted classes (rep, h1, h2), once each."""
+    """(doc_id, tokens) of the wanted classes (rep, h1, h2), once each; other columns of wanted go along."""
+    carried = wanted.drop("rep", "h1", "h2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for b in batches:
-            ids, out = [], []
-            for i, raw, h1, h2 in zip(*(b.column(c).to_pylist() for c in ("doc_id", "raw", "h1", "h2")), strict=True):
+            kept, out = [], []
+            for k, (raw, h1, h2) in enumerate(zip(*(b.column(c).to_pylist() for c in ("raw", "h1", "h2")), strict=True)):
                 s = shingles(raw)
                 if digest(s) == (h1, h2):
-                    ids.append(i)
+                    kept.append(k)
                     out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "tokens"])
+            some = b.take(pa.array(kept, pa.int32()))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(out, pa.binary()), *(some.column(c) for c in names)], names=["doc_id", "tokens", *names])
 
+    names = carried.columns
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return source.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(run, "doc_id long, tokens binary")
+    return source.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(run, f"doc_id long, tokens binary{kinds}")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -316,8 +324,84 @@ def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def degrees(docs: DataFrame, info: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h1, h2, n_links): with how many other classes each is similar. Similar classes are of one component and of equal or neighbouring bands."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.3))).cast("int")
+    reps = info.where(F.col("doc_id") == F.col("rep")).select("rep", "n", "h1", "h2").distinct()
+    members = reps.join(labels.withColumnRenamed("node", "rep"), "rep").withColumn("band", band)
+    sums = members.groupBy("component", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count("*").alias("c"))
+    sums = cut(sums, "blocks")
+    above = sums.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
+    below = sums.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
+    dealt = members.join(sums, ["component", "band"]).join(above, ["component", "band"], "left").join(below, ["component", "band"], "left")
+    me = F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int")
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    unit = lambda low, x, high, y, right: F.struct(low.alias("low"), x.alias("x"), high.alias("high"), y.alias("y"), F.lit(right).alias("right"))
+    own, mine = F.col("band"), F.col("me")
+    no = lambda c: F.coalesce(F.col(c), F.lit(0))
+    units = F.concat(
+        F.transform(F.filter(numbers(F.when(F.col("c") > 1, F.col("blocks")).otherwise(0)), lambda k: k >= mine), lambda k: unit(own, mine, own, k, False)),
+        F.transform(F.filter(numbers(F.col("blocks")), lambda k: k < mine), lambda k: unit(own, k, own, mine, True)),
+        F.transform(numbers(no("blocks_above")), lambda k: unit(own, mine, own + 1, k, False)),
+        F.transform(numbers(no("blocks_below")), lambda k: unit(own - 1, k, own, mine, True)),
+    )
+    wanted = dealt.withColumn("me", me).select("rep", "h1", "h2", "component", F.col("h1").alias("d1"), F.col("h2").alias("d2"), units.alias("units")).where(F.size("units") > 0)
+    rows = sets_of(docs, wanted).select("component", F.explode("units").alias("u"), "d1", "d2", "tokens").select("component", "u.*", "d1", "d2", "tokens")
+    names = ["component", "low", "x", "high", "y"]
+
+    def counted(lefts: list, rights: list) -> Iterator[tuple[tuple[int, int], int]]:
+        """(digest, links) from all pairs of a left and a right set, or of two left sets where no block is to the right."""
+        others = rights or lefts
+        if not lefts or len(lefts) + len(rights) < 2:
+            return
+        every = [s for _, s in others]
+        size = np.array([len(s) for s in every])
+        words, codes = np.unique(np.concatenate(every), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+        back, held = np.zeros(len(others), np.int64), np.zeros(len(words), np.int32)
+        for k, (own, s) in enumerate(lefts):
+            at = np.minimum(np.searchsorted(words, s), len(words) - 1)
+            at = at[words[at] == s]
+            held[at] = 1
+            both = np.add.reduceat(held[codes], starts)
+            held[at] = 0
+            hit = 100 * both >= 80 * (len(s) + size - both)
+            if not rights:
+                hit[k] = False
+            back += hit
+            if hit.any():
+                yield own, int(hit.sum())
+        if rights:
+            yield from ((own, int(n)) for (own, _), n in zip(rights, back, strict=True) if n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lefts, rights = None, [], []
+
+        def told(pairs):
+            pairs = list(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([v[0] for v, _ in pairs], pa.int64()), pa.array([v[1] for v, _ in pairs], pa.int64()), pa.array([n for _, n in pairs], pa.int64())], names=["h1", "h2", "links"])
+
+        for b in batches:
+            found = []
+            for *unit, right, d1, d2, raw in zip(*(b.column(c).to_pylist() for c in (*names, "right", "d1", "d2", "tokens")), strict=True):
+                if unit != key:
+                    if key is not None and (rights or key[1:3] == key[3:]):
+                        found.extend(counted(lefts, rights))
+                    key, lefts, rights = unit, [], []
+                side = rights if right else lefts
+                if not side or side[-1][0] != (d1, d2):  # a repeated row comes next to its first
+                    side.append(((d1, d2), np.frombuffer(raw, np.uint64)))
+            yield told(found)
+        if key is not None and (rights or key[1:3] == key[3:]):
+            yield told(counted(lefts, rights))
+
+    together = rows.repartition(*names).sortWithinPartitions(*names, "right", "d1", "d2")
+    return together.mapInArrow(run, "h1 long, h2 long, links long").groupBy("h1", "h2").agg(F.sum("links").alias("n_links"))
+
+
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(info, links, labels): doc_id, n, rep of every document with an id; links (a, b) between representatives; components of those."""
+    """(info, spanning, labels): doc_id, n, rep of every document with an id; links (a, b) between representatives that span
+    the components (not all links, see degrees); the components of those."""
     small_batches(docs.sparkSession)
     seen = cut(survey(docs), "survey")
     rank = ranks(seen)
@@ -383,11 +467,10 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id, n_links): one row per row of docs; n_links counts classes linked with its own."""
-    info, links, labels = join(docs)
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    by_rep = labels.withColumnRenamed("node", "rep").join(degree, "rep", "left")
-    out = info.join(by_rep, "rep", "left")
+    """(doc_id, n_shingles, component_id, class_id, n_links): one row per row of docs; n_links counts all other classes similar to its own."""
+    info, _, labels = join(docs)
+    degree = degrees(docs, info, labels)
+    out = info.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

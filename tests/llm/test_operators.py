@@ -99,6 +99,25 @@ def test_components_of_overlapping_groups_of_varying_length(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == brute_components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("block", [500, 7])
+def test_links_equal_brute_force(spark, monkeypatch, block):
+    """The number of links counts every similar class, also within a star, whatever the blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    rng = np.random.default_rng(12)
+    base = words(rng, 120).split()
+    texts = [" ".join(w if rng.random() > 0.004 * (k % 5) else f"e{k}x{j}" for j, w in enumerate(base)) for k in range(60)]
+    texts += overlapping(rng, 40, 4) + [texts[0], None, "", "one two", "one two"] + [words(rng, 50)] * 2
+    ids = list(range(len(texts)))
+    ids[-3] = ids[5]  # a repeated id with another text
+    shingles = lambda t: frozenset(tuple(w[k : k + 5]) for w in [(t or "").split()] for k in range(max(len(w) - 4, bool(w))))
+    sets = {i: shingles(t) for i, t in zip(ids, texts, strict=True) if i != ids[5]}
+    every = {shingles(t) for t in texts} - {frozenset()}
+    want = {i: sum(100 * len(s & x) >= 80 * len(s | x) for x in every if x != s) for i, s in sets.items()}
+    out = jaccard_join.classes(docs(spark, texts, ids)).collect()
+    assert {r.doc_id: r.n_links for r in out if r.doc_id != ids[5]} == want
+    assert len(out) == len(texts) and max(want.values()) > 20
+
+
 def test_components_of_nothing(spark):
     assert jaccard_join.classes(docs(spark, [])).collect() == []
     out = jaccard_join.classes(docs(spark, [None, "a b", "a b"], [None, 7, 7])).collect()
