@@ -72,6 +72,38 @@ def reference_edges(definitions: DataFrame, references: DataFrame) -> DataFrame:
     return r.join(d, "name").join(shared, "name").where("src <> dst").groupBy("src", "dst").agg(F.sum(F.sqrt("times") / F.col("d")).alias("weight"))
 
 
+def reference_rank(definitions: DataFrame, references: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+    """page_rank(reference_edges(definitions, references)) without the pairs of paths: rank goes from path to name to path, so rows
+    grow with definitions and references only, however many paths define a name. Each round reads the ranks twice, so lineage is cut every round."""
+    can_cut = definitions.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    settled = lambda df: df.checkpoint() if can_cut else df.localCheckpoint()
+    d = definitions.select("name", F.col("path").alias("dst")).distinct()
+    r = references.groupBy("name", F.col("path").alias("src")).agg(F.sqrt(F.count("*")).alias("w"))
+    shared = d.groupBy("name").agg(F.count("*").alias("d"))
+    own = d.select("name", F.col("dst").alias("src"), F.lit(1).alias("own"))
+    r = r.join(shared, "name").join(own, ["name", "src"], "left").select("name", "src", "w", "d", F.coalesce("own", F.lit(0)).alias("own"))
+    total = r.groupBy("src").agg(F.sum(F.col("w") * (F.col("d") - F.col("own")) / F.col("d")).alias("total")).where("total > 0")
+    total = settled(total)
+    r = settled(r.join(total, "src").select("name", "src", "own", (F.col("w") / F.col("total")).alias("share")))
+    # a path gets rank through a name that it defines and another path refers to
+    users = r.groupBy("name").agg(F.count("*").alias("users"))
+    mine = r.where("own = 1").select("name", F.col("src").alias("dst"), F.col("share").alias("mine"))
+    d = d.join(shared, "name").join(users, "name").join(mine, ["name", "dst"], "left").where(F.col("users") > F.col("mine").isNotNull().cast("int"))
+    d = settled(d.select("name", "dst", "d", F.coalesce("mine", F.lit(0.0)).alias("mine")))
+    nodes = total.select(F.col("src").alias("node")).union(d.select("dst")).distinct()
+    nodes = settled(nodes.join(total.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left"))
+    n = max(nodes.count(), 1)
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(rounds):
+        lost = ranks.where("sends is null").agg(F.sum("rank")).first()[0] or 0.0
+        names = r.join(ranks, r.src == ranks.node).groupBy("name").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        back = ranks.select(F.col("node").alias("dst"), F.col("rank").alias("old"))
+        got = d.join(names, "name").join(back, "dst").groupBy(F.col("dst").alias("node")).agg(F.sum((F.col("flow") - F.col("old") * F.col("mine")) / F.col("d")).alias("got"))
+        new = nodes.join(got, "node", "left").select("node", "sends", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        ranks = settled(new)
+    return ranks.select("node", "rank")
+
+
 def corpus_map(definitions: DataFrame, ranks: DataFrame, tokens: int = 1024, most: int = 10_000) -> DataFrame:
     """The definitions of the best files, in rank order, while their names fit the budget; the `most` best rows at most can fit any budget asked for."""
     best = definitions.join(ranks.withColumnRenamed("node", "path"), "path").withColumn("cost", X.token_count("name") + 1).orderBy(F.desc("rank"), "path", "name").limit(most)

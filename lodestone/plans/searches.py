@@ -262,6 +262,4 @@ def o9_corpus_map(spark, d):
     words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Za-z]{4,}"), F.lit(0))))
     defs = p.select("path", words("path").alias("name")).distinct()
     refs = p.select("path", words(F.array_join(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), " ")).alias("name"))
-    common = defs.groupBy("name").count().where("count <= 50").select("name")
-    edges = rank.reference_edges(defs.join(common, "name"), refs)
-    return rank.corpus_map(defs, rank.page_rank(edges, 5)).select("path", "name", F.round("rank", 9).alias("rank"))
+    return rank.corpus_map(defs, rank.reference_rank(defs, refs, 5)).select("path", "name", F.round("rank", 9).alias("rank"))

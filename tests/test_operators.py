@@ -337,3 +337,19 @@ def test_streamed_index(spark, tmp_path):
     q = windowed_counts(ev).writeStream.format("memory").queryName("wc").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from wc").first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_rank_through_names_equals_rank_over_pairs(spark):
+    defs = spark.createDataFrame([(f"p{i}", f"n{i % k}") for i in range(70) for k in (1, 3, 7, 40)], "path string, name string").distinct()
+    refs = spark.createDataFrame([(f"p{i}", f"n{i * i % m}") for i in range(80) for m in (2, 5, 50)] + [("p3", "n1")] * 4, "path string, name string")
+    want = {r.node: r["rank"] for r in rank.page_rank(rank.reference_edges(defs, refs), 4).collect()}
+    got = {r.node: r["rank"] for r in rank.reference_rank(defs, refs, 4).collect()}
+    assert got == pytest.approx(want, rel=1e-9) and len(got) > 70
+
+
+def test_corpus_map_keeps_names_of_many_paths(spark, tmp_path):
+    from lodestone.plans.searches import o9_corpus_map
+
+    link = '<a href="/guide/common.html">'
+    spark.createDataFrame([(i, f"http://h.com/guide/{i}.html", link) for i in range(60)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert o9_corpus_map(spark, str(tmp_path)).where("name = 'guide'").count() == 60
