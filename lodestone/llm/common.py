@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,29 +15,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if the session is local, else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: a lost executor then costs no recomputation."""
+    """df written as a table in the shared folder and read again: a lost executor then costs no recomputation. The driver removes it when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_bytes(size: str) -> int:
+    """What a size setting of Spark says: 64, 64b, 64k, 64MB, 1g, -1."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", str(size).lower())
+    if not m:
+        raise ValueError(f"not a size: {size}")
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches in which whole texts go to Python workers; lower settings of the session stay."""
+    """Bounds the Arrow batches in which whole texts go to Python workers. Lower settings of the session stay, higher ones are replaced
+    in it, since they are read only when a plan runs."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
-        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        now = as_bytes(spark.conf.get(key))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 
