@@ -6,42 +6,35 @@ power THETA; a piece's weight falls with its rank in the model (Zipf's law), a b
 paths to each node; backward sampling then draws a path from the end, exactly by its probability. The random numbers are a
 hash of (seed, row key, place of the chunk, step), so a row's segmentation doesn't depend on partitions, batches or retries.
 
-Edges don't cross chunks: a chunk is a blank with what follows up to the next blank or line end, CHUNK bytes at most; chunks that
-occur often are filtered once a task. Defined results: null and empty texts have no pieces and decode to the empty text; a null
-key counts as 0; repeated rows are segmented alike; very long texts are one row in and out, chunk by chunk.
+A text is cut into chunks wherever no piece of the model holds the two bytes on either side, so no edge is lost, and a chunk's
+lattice, of whatever length, is sampled on its own. Filters are kept by chunk, so that a chunk that occurs often is filtered once a
+worker. Weights are kept as mantissa and exponent, so that long chunks don't underflow. Defined results: null and empty texts have
+no pieces and decode to the empty text; a null key counts as 0; repeated rows are segmented alike; very long texts are one row in and
+out; the column names ids and n_bytes of the input aren't read, but the key must not be called so.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-THETA = 0.5
-CHUNK = 48
-CHUNKS = re.compile(rb" ?[^ \n]{1,%d}|[ \n]" % (CHUNK - 1))
-#: Weight of a byte piece before THETA, chunks whose filter a task keeps, and chunks sampled at once.
-BYTE_WEIGHT, KNOWN_CHUNKS, AT_ONCE = 1e-9, 150_000, 100_000
-#: Bytes of a piece; longer ones aren't used.
-LONGEST = 16
-SLOT_BITS = 16
-
+from .common import small_batches
 
+THETA = 0.5
+#: Weight of a byte piece before THETA.
+BYTE_WEIGHT = 1e-9
+#: Edges of the chunks whose filter a worker keeps, chunks sampled at once, and bytes filtered at once.
+KNOWN_EDGES, AT_ONCE, FILTER_BYTES = 6_000_000, 200_000, 400_000
 SEED = 1469598103934665603
 
 
-def mixed(h: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The hash of a prefix with one more byte."""
-    h = (h ^ (b.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
 class Model:
-    """Pieces as bytes by id, and for each length up to LONGEST the sorted hashes of the pieces of that length, with ids and weights."""
+    """Pieces as bytes by id; their trie as one table of moves; and which bytes stand side by side in some piece."""
 
     def __init__(self, path: str, theta: float = THETA):
         import sentencepiece
@@ -49,10 +42,11 @@ class Model:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes: list[bytes] = []
         self.byte_weight = BYTE_WEIGHT**theta
-        self.byte_id = np.zeros(256, np.uint16)
+        self.byte_id = np.zeros(256, np.int32)
         order = sorted((i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))), key=lambda i: (-sp.get_score(i), i))
         rank = {i: k for k, i in enumerate(order)}
-        by: dict[int, list] = {n: [] for n in range(1, LONGEST + 1)}
+        moves: list[dict[int, int]] = [{}, {}]  # state 0 is the end of all ways, state 1 the root
+        ids, self.joins = {}, np.zeros((256, 256), bool)
         for i in range(sp.get_piece_size()):
             raw = b""
             if sp.is_byte(i):
@@ -60,66 +54,91 @@ class Model:
                 self.byte_id[raw[0]] = i
             elif i in rank:
                 raw = sp.id_to_piece(i).replace("▁", " ").encode()
-                if len(raw) <= LONGEST:
-                    by[len(raw)].append((raw, i, (1.0 / (rank[i] + 10)) ** theta))
+                at = 1
+                for c in raw:
+                    at = moves[at].setdefault(c, len(moves))
+                    if at == len(moves):
+                        moves.append({})
+                ids[at] = i
+                self.joins[np.frombuffer(raw[:-1], np.uint8), np.frombuffer(raw[1:], np.uint8)] = True
             self.bytes.append(raw)
-        self.table = []
-        for n in range(1, LONGEST + 1):
-            rows = [*by[n], (b"", 0, 0.0)]  # the last one is found where nothing is
-            h = np.full(len(rows) - 1, SEED, np.uint64)
-            for column in np.frombuffer(b"".join([r for r, _, _ in rows]), np.uint8).reshape(-1, n).T:
-                h = mixed(h, column)
-            keys = np.append(h, np.uint64(0))
-            self.table.append((keys, np.array([i for _, i, _ in rows], np.uint16), np.array([w for _, _, w in rows]), *self.slots(keys)))
-
-    @staticmethod
-    def slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the keys by two parts of their hashes, for those that the first part doesn't tell apart."""
-        one, two = np.full(1 << SLOT_BITS, len(keys) - 1, np.int32), np.full(1 << SLOT_BITS, len(keys) - 1, np.int32)
-        first = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        one[first[:-1]] = np.arange(len(keys) - 1)
-        left = np.flatnonzero(one[first[:-1]] != np.arange(len(keys) - 1))
-        second = (keys[left] >> np.uint64(20) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
-        two[second] = left
-        if not (two[second] == left).all():
-            raise ValueError("two pieces share both slots")
-        return one, two
-
-    def find(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, places in the table of length k + 1) of the hashes that are pieces."""
-        keys, _, _, one, two = self.table[k]
-        a = one[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-        b = two[(h >> np.uint64(20) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)]
-        hit = np.where(keys[a] == h, a, b)
-        rows = np.flatnonzero(keys[hit] == h)
-        return rows, hit[rows]
-
-    def filtered(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For chunks of equal length (n, bytes): by end node and piece length, the cumulated share of the node's weight, and the piece: (n, bytes, LONGEST + 1).
-
-        The last place is the single-byte edge, whose share comes last.
-        """
-        n, size = chunks.shape
-        columns = np.ascontiguousarray(chunks.T)
-        share, ids = np.zeros((size, LONGEST + 1, n)), np.zeros((size, LONGEST + 1, n), np.uint16)
-        for i in range(size):
-            h = np.full(n, SEED, np.uint64)
-            for k in range(min(LONGEST, size - i)):
-                h = mixed(h, columns[i + k])
-                rows, at = self.find(k, h)
-                share[i + k, k, rows] = self.table[k][2][at]
-                ids[i + k, k, rows] = self.table[k][1][at]
-        ids[:, LONGEST] = self.byte_id[columns]
-        share[:, LONGEST] = self.byte_weight
-        total = np.ones((size + 1, n))
-        for j in range(size):
-            for k in range(min(j + 1, LONGEST)):
-                share[j, k] *= total[j - k]
-            share[j, LONGEST] *= total[j]
-            np.cumsum(share[j], axis=0, out=share[j])
-            total[j + 1] = share[j, LONGEST]
-            share[j] /= total[j + 1]
-        return share.astype(np.float32).transpose(2, 0, 1), ids.transpose(2, 0, 1)
+        self.longest = max(map(len, self.bytes))
+        self.letter = np.zeros(256, np.int64)  # only bytes that pieces hold have columns of their own
+        used = sorted({c for m in moves for c in m})
+        self.letter[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        self.moves = np.zeros(len(moves) * self.width, np.int32)
+        for state, m in enumerate(moves):
+            for c, to in m.items():
+                self.moves[state * self.width + self.letter[c]] = to
+        self.piece, self.weight = np.full(len(moves), -1, np.int32), np.zeros(len(moves))
+        for state, i in ids.items():
+            self.piece[state], self.weight[state] = i, (1.0 / (rank[i] + 10)) ** theta
+
+    def cuts(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where chunks of the bytes begin: at `begins`, and wherever no piece holds both the byte before and the one after."""
+        apart = np.ones(len(raw), bool)
+        apart[1:] = ~self.joins[raw[:-1], raw[1:]]
+        apart[begins] = True
+        return np.flatnonzero(apart)
+
+    def chunks(self, raw: bytes) -> list[bytes]:
+        at = [*self.cuts(np.frombuffer(raw, np.uint8), np.empty(0, np.int64)).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def filtered(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the nodes after each byte of the chunks, in a row: where its edges begin (one more entry closes the last), and for each
+        edge, longest first, the cumulated share of the node's weight, the bytes it spells and its piece."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        raw = np.frombuffer(b"".join(chunks), np.uint8)
+        first = np.cumsum(sizes) - sizes
+        left = np.repeat(first + sizes, sizes) - np.arange(len(raw))  # bytes to the chunk's end
+        letter = self.letter[raw]
+        ends, spans, pieces, weights = [np.arange(len(raw))], [1], [self.byte_id[raw]], [self.byte_weight]
+        live, state = np.arange(len(raw)), np.ones(len(raw), np.int64)
+        for k in range(self.longest):
+            state = self.moves[state * self.width + letter[live + k]]
+            hit = np.flatnonzero(self.piece[state] >= 0)
+            if len(hit):
+                ends.append(live[hit] + k)
+                spans.append(k + 1)
+                pieces.append(self.piece[state[hit]])
+                weights.append(self.weight[state[hit]])
+            on = np.flatnonzero((state > 0) & (left[live] > k + 1))
+            live, state = live[on], state[on].astype(np.int64)
+            if not len(live):
+                break
+        count = np.bincount(np.concatenate(ends), minlength=len(raw))
+        begin = np.concatenate(([0], np.cumsum(count)))
+        span, piece, weight = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.int32), np.empty(begin[-1])
+        free = begin[:-1].copy()
+        for e, n, i, w in zip(reversed(ends), reversed(spans), reversed(pieces), reversed(weights), strict=True):
+            at = free[e]
+            span[at], piece[at], weight[at] = n, i, w
+            free[e] += 1
+        # a node's weight is mantissa * 2**exponent, relative to that of its chunk's begin; all chunks go on together
+        by_size = np.argsort(-sizes, kind="stable")
+        first, alive = first[by_size], len(sizes) - np.searchsorted(np.sort(sizes), np.arange(int(sizes.max())), "right")
+        mantissa, exponent = np.ones(len(raw)), np.zeros(len(raw), np.int64)
+        for j, n in enumerate(alive.tolist()):
+            node = first[:n] + j
+            many = count[node]
+            here = np.cumsum(many) - many
+            edges = np.repeat(begin[node] - here, many) + np.arange(int(many.sum()))
+            value = weight[edges]
+            if j:
+                back = np.repeat(node, many) - span[edges]
+                inner = span[edges] <= j  # else it comes from the chunk's begin
+                base = np.repeat(exponent[node - 1], many)
+                value = np.ldexp(np.where(inner, mantissa[back], 1.0) * value, (np.where(inner, exponent[back], 0) - base).astype(np.int32))
+            total = np.add.reduceat(value, here)
+            mantissa[node], more = np.frexp(total)
+            exponent[node] = more + (exponent[node - 1] if j else 0)
+            weight[edges] = value / np.repeat(total, many)
+        share = weight.cumsum()
+        share -= np.repeat(np.append(0.0, share)[begin[:-1]], count)
+        share[begin[1:] - 1] = 2.0  # whatever rounding leaves, the last edge takes
+        return begin, share.astype(np.float32), span, piece
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -135,7 +154,7 @@ def uniform(seed: int, key: np.ndarray, place: np.ndarray, step: int) -> np.ndar
 
 
 class Sampler:
-    """The filters of the chunks met, one row a node, kept until there are too many."""
+    """The filters of the chunks met, one row an edge, kept until there are too many."""
 
     def __init__(self, model: Model, seed: int):
         self.model, self.seed = model, seed
@@ -143,49 +162,51 @@ class Sampler:
 
     def clear(self):
         self.place: dict[bytes, int] = {}
-        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.share, self.ids, self.used = np.zeros((4096, LONGEST + 1), np.float32), np.zeros((4096, LONGEST + 1), np.uint16), 0
+        self.last = np.zeros(0, np.int64)  # of each chunk, its last node
+        self.size = np.zeros(0, np.int64)
+        self.begin, self.share, self.span, self.piece = np.zeros(1, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def learn(self, chunks: list[bytes]) -> None:
-        by: dict[int, list[bytes]] = {}
-        for c in chunks:
-            by.setdefault(len(c), []).append(c)
-        need_rows, need = self.used + sum(map(len, chunks)), len(self.place) + len(chunks)
-        if need_rows > len(self.share):
-            self.share, self.ids = (np.concatenate([x[: self.used], np.zeros((need_rows * 3 // 2 - self.used, LONGEST + 1), x.dtype)]) for x in (self.share, self.ids))
-        if need > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros(need * 3 // 2 - len(x), np.int64)]) for x in (self.first, self.size))
-        for n, group in by.items():
-            for k in range(0, len(group), 4096):
-                part = group[k : k + 4096]
-                share, ids = self.model.filtered(np.frombuffer(b"".join(part), np.uint8).reshape(-1, n))
-                rows = len(part) * n
-                self.share[self.used : self.used + rows], self.ids[self.used : self.used + rows] = share.reshape(rows, -1), ids.reshape(rows, -1)
-                at = len(self.place)
-                self.first[at : at + len(part)], self.size[at : at + len(part)] = self.used + np.arange(len(part)) * n, n
-                self.place.update(zip(part, range(at, at + len(part)), strict=True))
-                self.used += rows
-
-    def __call__(self, chunks: list[bytes], key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new, at, held = [], 0, 0
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        for i, n in enumerate(sizes.tolist()):
+            held += n
+            if held >= FILTER_BYTES or i + 1 == len(chunks):
+                new.append(self.model.filtered(chunks[at : i + 1]))
+                at, held = i + 1, 0
+        offset = self.begin[-1] + np.cumsum([0, *(len(x[1]) for x in new)])
+        nodes = len(self.begin) - 1
+        self.begin = np.concatenate([self.begin, *(x[0][1:] + o for x, o in zip(new, offset, strict=False))])
+        self.share, self.span, self.piece = (np.concatenate([old, *(x[k] for x in new)]) for k, old in ((1, self.share), (2, self.span), (3, self.piece)))
+        self.last = np.concatenate([self.last, nodes + np.cumsum(sizes) - 1])
+        self.size = np.concatenate([self.size, sizes])
+        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks)), strict=True))
+
+    def __call__(self, chunks: list[bytes] | pa.Array, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in a row, how many for each chunk)."""
-        kinds = dict.fromkeys(chunks)
-        missing = [c for c in kinds if c not in self.place]
-        if len(self.place) + len(missing) > KNOWN_CHUNKS:
+        coded = (chunks if isinstance(chunks, pa.Array) else pa.array(chunks, pa.binary())).dictionary_encode()
+        kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.share) > KNOWN_EDGES:
             self.clear()
-            missing = list(kinds)
-        self.learn(missing)
-        which = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        first, end = self.first[which], self.size[which].copy()  # end: the node reached, counted within the chunk
-        live, made, number = np.arange(len(chunks)), [], np.zeros(len(chunks), np.int64)
-        step = 0
+        missing = [c for c in kinds if c not in self.place]
+        if missing:
+            self.learn(missing)
+        which = np.fromiter(map(self.place.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy()]
+        node, left = self.last[which], self.size[which]
+        live, made, number, step = np.arange(len(which)), [], np.zeros(len(which), np.int64), 0
         while len(live):
-            node = first[live] + end[live] - 1
             u = uniform(self.seed, key[live], place[live], step).astype(np.float32)
-            edge = np.minimum((self.share[node] <= u[:, None]).sum(1), LONGEST)
-            made.append((live, self.ids[node, edge]))
+            edge = self.begin[node]
+            on = np.flatnonzero(self.share[edge] <= u)
+            while len(on):
+                edge[on] += 1
+                on = on[self.share[edge[on]] <= u[on]]
+            made.append((live, self.piece[edge]))
             number[live] += 1
-            end[live] -= np.where(edge == LONGEST, 1, edge + 1)
-            live = live[end[live] > 0]
+            span = self.span[edge]
+            left = left - span
+            on = np.flatnonzero(left > 0)
+            live, node, left = live[on], node[on] - span[on], left[on]
             step += 1
         begin = np.cumsum(number) - number
         out = np.empty(int(number.sum()), np.int32)
@@ -194,47 +215,57 @@ class Sampler:
         return out, number
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", seed: int = 0, theta: float = THETA) -> DataFrame:
-    """(key, ids, n_bytes): ids is an array of piece ids."""
-    kind = docs.schema[key].dataType.simpleString()
+#: Kept by the worker process from task to task, by path, theta and seed.
+_SAMPLERS: dict[tuple, Sampler] = {}
+
+
+def sampler_by(path: str, theta: float = THETA, seed: int = 0) -> Sampler:
+    if (path, theta, seed) not in _SAMPLERS:
+        _SAMPLERS[path, theta, seed] = Sampler(Model(path, theta), seed)
+    return _SAMPLERS[path, theta, seed]
+
+
+def encoder(path: str, key: str, seed: int, theta: float):
+    """Batches (key, raw, _k) to batches (key, ids, n_bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(Model(path, theta), seed)
+        sampler = sampler_by(path, theta, seed)
         for b in batches:
-            raws = [r or b"" for r in b.column("raw").to_pylist()]
-            keys = [k or 0 for k in b.column("_k").to_pylist()]
-            chunks, owner, places, made, pending = [], [], [], [], 0
-
-            def flush():
-                if not chunks:
-                    return
-                o = np.repeat(np.array([x for x, _ in owner], np.int64), [n for _, n in owner])
-                ids, number = sampler(chunks, np.array(keys, np.int64)[o], np.concatenate(places))
-                made.append((np.repeat(o, number), ids))
-                chunks.clear(), owner.clear(), places.clear()
-
-            for i, raw in enumerate(raws):
-                own = CHUNKS.findall(raw)
-                for a in range(0, len(own), AT_ONCE):
-                    part = own[a : a + AT_ONCE]
-                    chunks += part
-                    owner.append((i, len(part)))
-                    places.append(np.arange(a, a + len(part)))
-                    if len(chunks) >= AT_ONCE:
-                        flush()
-            flush()
-            o = np.concatenate([x for x, _ in made]) if made else np.empty(0, np.int64)
-            ids = np.concatenate([x for _, x in made]) if made else np.empty(0, np.int32)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(o, minlength=len(raws))))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array([len(r) for r in raws], pa.int64())], names=[key, "ids", "n_bytes"])
-
-    from pyspark.sql import functions as F
-
-    from .common import small_batches
-
+            raws = b.column("raw").fill_null(b"")
+            sizes = np.fromiter((len(r) for r in raws.to_pylist()), np.int64, len(raws))
+            ends = np.cumsum(sizes)
+            data = np.frombuffer(b"".join(raws.to_pylist()), np.uint8)
+            cuts = sampler.model.cuts(data, (ends - sizes)[sizes > 0])
+            owner = np.searchsorted(ends, cuts, "right")
+            begins = np.searchsorted(cuts, ends - sizes)
+            place = np.arange(len(cuts)) - begins[owner]
+            keys = b.column("_k").fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = np.append(cuts, len(data))
+            buffer, made, numbers = pa.py_buffer(data), [], []
+            for at in range(0, len(cuts) - 1, AT_ONCE):
+                part = cuts[at : min(at + AT_ONCE, len(cuts) - 1) + 1]
+                some = pa.Array.from_buffers(pa.large_binary(), len(part) - 1, [None, pa.py_buffer(part.astype(np.int64)), buffer])
+                ids, number = sampler(some, keys[owner[at : at + AT_ONCE]], place[at : at + AT_ONCE])
+                made.append(ids)
+                numbers.append(number)
+            per = np.bincount(owner, np.concatenate(numbers) if numbers else None, len(raws)).astype(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(per))).astype(np.int32)
+            ids = np.concatenate(made) if made else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(sizes)], names=[key, "ids", "n_bytes"])
+
+    return run
+
+
+def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    source = docs.select(key, F.col(text).cast("binary").alias("raw"), (F.col(key) if kind in ("bigint", "int", "smallint") else F.xxhash64(key)).cast("long").alias("_k"))
-    return source.mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_bytes long")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).cast("binary").alias("raw"), (F.col(key) if kind in ("bigint", "int", "smallint") else F.xxhash64(key)).cast("long").alias("_k"))
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", seed: int = 0, theta: float = THETA) -> DataFrame:
+    """(key, ids, n_bytes): ids is an array of piece ids."""
+    kind = docs.schema[key].dataType.simpleString()
+    return _source(docs, key, text).mapInArrow(encoder(path, key, seed, theta), f"`{key}` {kind}, ids array<int>, n_bytes long")
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -242,7 +273,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(path)
+        model = sampler_by(path).model
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([model.decode(ids or []).decode("utf-8", "replace") for ids in b.column("ids").to_pylist()], pa.string())], names=[key, "text"])
 
@@ -260,16 +291,17 @@ def op5_pieces(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     path = model_path()
-    encoded = encode(table(spark, sf_dir, "documents"), path)
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    docs = table(spark, sf_dir, "documents")
+    encoded = encoder(path, "doc_id", 0, THETA)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(path)
-        for b in batches:
+        model = sampler_by(path).model
+        for b in encoded(batches):
             lists = b.column("ids")
             values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             spans = [values[a:e] for a, e in zip(ends[:-1], ends[1:], strict=True)]
             cols = [[len(s) for s in spans], [zlib.crc32(s.astype("<u4").tobytes()) for s in spans], [zlib.crc32(model.decode(s.tolist())) for s in spans]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "decoded_crc32"])
 
-    return encoded.mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_pieces long, ids_crc32 long, decoded_crc32 long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _source(docs, "doc_id", "text").mapInArrow(digest, f"doc_id {kind}, n_bytes long, n_pieces long, ids_crc32 long, decoded_crc32 long")

@@ -50,7 +50,7 @@ def test_ids_equal_the_tokenizers_own():
 def test_sampled_pieces_decode_to_the_text(text, key):
     model = MODEL()
     raw = text.encode("utf-8", "replace")
-    chunks = pieces.CHUNKS.findall(raw)
+    chunks = model.chunks(raw)
     assert b"".join(chunks) == raw
     if chunks:
         again = [pieces.Sampler(model, 0)(chunks, np.full(len(chunks), key), np.arange(len(chunks)))[0] for _ in range(2)]
@@ -63,14 +63,14 @@ def MODEL(kept=[]):  # noqa: B006
     return kept[0]
 
 
-def test_sampling_follows_the_lattice_probabilities():
-    model, chunk, n = MODEL(), b" then", 40_000
-    rank = {}
-    for k, ids in enumerate(model.table):
-        for i, w in zip(ids[1].tolist()[:-1], ids[2].tolist()[:-1], strict=True):
-            assert len(model.bytes[i]) == k + 1
-            rank[model.bytes[i]] = (i, w)
-    weights = {}
+def spelled(model):
+    """Of every piece but single bytes, its weight, from the model's trie."""
+    return {model.bytes[i]: (int(i), float(w)) for i, w in zip(model.piece, model.weight, strict=True) if i >= 0}
+
+
+def every_path(model, chunk):
+    """Probabilities of all segmentations, by enumeration."""
+    pieces_of, weights = spelled(model), {}
 
     def paths(at, ids, w):
         if at == len(chunk):
@@ -78,22 +78,50 @@ def test_sampling_follows_the_lattice_probabilities():
             return
         paths(at + 1, [*ids, int(model.byte_id[chunk[at]])], w * model.byte_weight)
         for j in range(at + 1, len(chunk) + 1):
-            if chunk[at:j] in rank:
-                i, v = rank[chunk[at:j]]
+            if chunk[at:j] in pieces_of:
+                i, v = pieces_of[chunk[at:j]]
                 paths(j, [*ids, i], w * v)
 
     paths(0, [], 1.0)
     total = sum(weights.values())
+    return {k: w / total for k, w in weights.items()}
+
+
+@pytest.mark.parametrize("chunk", [b" then", b"    a", b" \xc3\xa9t"])
+def test_sampling_follows_the_lattice_probabilities(chunk):
+    model, n = MODEL(), 40_000
+    assert model.chunks(chunk) == [chunk]
     ids, number = pieces.Sampler(model, 3)([chunk] * n, np.arange(n), np.zeros(n, np.int64))
     ends = np.cumsum(number)
     seen = {}
     for a, b in zip(ends - number, ends, strict=True):
         seen[tuple(ids[a:b].tolist())] = seen.get(tuple(ids[a:b].tolist()), 0) + 1
-    for path, w in weights.items():
-        p = w / total
+    for path, p in every_path(model, chunk).items():
         assert abs(seen.get(path, 0) / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
 
 
+def test_every_piece_can_be_drawn_whole():
+    model = MODEL()
+    for raw, (i, _) in spelled(model).items():
+        assert model.chunks(raw) == [raw], raw  # no cut inside a piece
+    some = [p for p in spelled(model) if len(p) > 16 or b"  " in p]
+    assert len(some) > 20
+    begin, share, span, piece = model.filtered(some)
+    ends = np.cumsum([len(p) for p in some])
+    for p, end in zip(some, ends.tolist(), strict=True):
+        edges = range(begin[end - 1], begin[end])
+        whole = [e for e in edges if span[e] == len(p)]
+        assert [int(piece[e]) for e in whole] == [spelled(model)[p][0]] and share[whole[0]] > (share[whole[0] - 1] if whole[0] > edges[0] else 0)
+
+
+def test_long_runs_neither_underflow_nor_lose_bytes():
+    model = MODEL()
+    for raw in (b"a" * 50_000, b" " * 20_000 + b"x", bytes([255]) * 3_000, "é".encode() * 9_000):
+        chunks = model.chunks(raw)
+        ids, _ = pieces.Sampler(model, 1)(chunks, np.zeros(len(chunks), np.int64), np.arange(len(chunks)))
+        assert model.decode(ids.tolist()) == raw
+
+
 def shingles(words):
     if not words:
         return set()
