@@ -205,6 +205,18 @@ def test_shards_are_contiguous_and_even(spark, bucket_rows):
         assert abs(sum(r["size"] for r in own) - total / 7) <= largest and [r.slot for r in own] == list(range(len(own)))
 
 
+@pytest.mark.parametrize("part_rows", [5, 40])
+def test_equal_texts_lie_together_in_parts_of_any_size(spark, part_rows):
+    rng = np.random.default_rng(12)
+    texts = [f"text {rng.integers(0, 300)}" for _ in range(900)] + ["hot"] * 700 + [None] * 90 + [""] * 60
+    out = sharding.prefix_shards(sharding.with_size(docs(spark, texts, [i if i % 7 else None for i in range(len(texts))])), 6, part_rows).select("start", "size", "text_crc32", "shard", "slot").collect()
+    rows = sorted(out, key=lambda r: r.start)
+    assert [r.start for r in rows] == np.concatenate(([0], np.cumsum([r.size for r in rows])[:-1])).tolist()
+    crcs = [r.text_crc32 for r in rows]
+    assert 1 + sum(a != b for a, b in zip(crcs, crcs[1:], strict=False)) == len(set(crcs))
+    assert sorted((r.shard, r.slot) for r in rows) == [(k, i) for k in range(6) for i in range(sum(r.shard == k for r in rows))]
+
+
 def test_no_rows_no_shards(spark):
     assert sharding.prefix_shards(sharding.with_size(docs(spark, [])), 4).count() == 0
 
