@@ -6,7 +6,8 @@ prior centred on the global rate, a path's one centred on its host's posterior;
 of the observed rates (method of moments), so sites with few documents shrink to what stands above them. The document's own
 evidence is left out of its site's posterior. Score = sigmoid(evidence + logit(path posterior) - logit(global rate)).
 
-Sums per path are pre-aggregated in each task; only they are shuffled, never texts. Defined results: null and empty texts have
+Texts are read once, to write each document's evidence; sums per path are pre-aggregated in each task, and only they are
+shuffled. The sites' table is sent to the tasks if its rows are few, which is checked. Defined results: null and empty texts have
 features of zero; null source or language is a site of its own; without labels of both kinds evidence is the global rate;
 repeated rows each count. Columns other than doc_id, text, source and lang aren't read, and filtering keeps them.
 """
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, small_batches
+from .common import cut, labelled_sample, small_batches
 from .pii import at, boost
 
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\r\n", "stop": b".", "comma": b",;:", "mark": b"!?", "bar": b"|<>{}[]()/\\=_~^", "symbol": b"#$%&*@+"}
 N_FEATURES = len(CLASSES) + 9
+#: Sites up to which their table goes to every task; about 100 bytes a row. Larger ones are joined by shuffle.
+BROADCAST_SITES = 100_000
 
 
 def features(texts: list[str | None]) -> np.ndarray:
@@ -84,7 +87,7 @@ def posteriors(evidence: DataFrame) -> DataFrame:
     A path's posterior is Beta with mean (good + strength * host_rate) / (n + strength).
     """
     p = 1 / (1 + F.exp(-F.col("_z")))
-    paths = evidence.groupBy(site("source").alias("_host"), site("lang").alias("_path")).agg(F.count("*").alias("n_path"), F.sum(p).alias("good_path"))
+    paths = cut(evidence.groupBy(site("source").alias("_host"), site("lang").alias("_path")).agg(F.count("*").alias("n_path"), F.sum(p).alias("good_path")), "paths")
     hosts = paths.groupBy("_host").agg(F.sum("n_path").alias("n_host"), F.sum("good_path").alias("good_host"))
     m = hosts.agg(F.sum("n_host").alias("n"), F.sum("good_host").alias("g"), F.count("*").alias("k")).first()
     rate = min(max((m.g or 0.0) / m.n, 1e-3), 1 - 1e-3) if m.n else 0.5
@@ -112,7 +115,8 @@ def score(evidence: DataFrame, sites: DataFrame, threshold: float = 0.5) -> Data
     p = 1 / (1 + F.exp(-F.col("_z")))
     logit = lambda c: F.log(c / (1 - c))
     tamed = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
-    joined = evidence.withColumn("_host", site("source")).withColumn("_path", site("lang")).join(sites, ["_host", "_path"])
+    few = sites.select("_host").limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
+    joined = evidence.withColumn("_host", site("source")).withColumn("_path", site("lang")).join(F.broadcast(sites) if few else sites, ["_host", "_path"])
     rate = tamed((F.col("good_path") - p + F.col("strength") * F.col("host_rate")) / (F.col("n_path") - 1 + F.col("strength")))
     out = joined.withColumn("p_classifier", p).withColumn("path_rate", rate)
     out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("_z") + logit(F.col("path_rate")) - logit(F.col("global_rate"))))))
@@ -122,8 +126,8 @@ def score(evidence: DataFrame, sites: DataFrame, threshold: float = 0.5) -> Data
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, carry: bool = False, **how) -> DataFrame:
     """Every document's score; with carry, all columns of docs come along, whose names must not be those of the scores."""
     model = fit(docs, labels, **how)
-    sites = posteriors(with_evidence(docs, model, False))
-    return score(with_evidence(docs, model, carry), sites, threshold)
+    evidence = cut(with_evidence(docs, model, carry), "evidence")
+    return score(evidence, posteriors(evidence), threshold)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
