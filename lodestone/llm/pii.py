@@ -1,16 +1,20 @@
 """Personal data: fixed formats, and candidates chosen by gradient boosting. DataFrame expressions only.
 
-Base spans come from four patterns, leftmost and non-overlapping, each match then kept or dropped whole. Two generators of high
-recall propose more: anything around an @, and any run of digits with separators. Boosted trees over the candidates' format and
-context, trained from a bounded sample with the base spans as positives, score them; for each generator the threshold lies
-midway between the least score that reached a set precision on held-out candidates and the next one, or even odds. Chosen candidates that overlap no base span are added.
-
-A column of spans is an array of struct(kind, start, end), in code points, end exclusive, ordered by kind as in KINDS, then start.
-Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; a table without
-candidates adds none. Columns other than doc_id and text aren't read (redact keeps them).
+Base spans come from four patterns, leftmost and non-overlapping, each match then kept or dropped whole. Generators of high
+recall propose more, which may overlap: anything around an @, any run of digits with separators, single numbers and phone
+numbers inside such runs (which the patterns lose where two stand side by side), and long runs of letters with digits. Boosted trees over the
+candidates' format and context score them. They are trained from a bounded sample of documents: a candidate that overlaps a base
+span counts as good, and a long run does if a word for a secret stands before it, which its features don't show. On other documents of
+the sample each generator gets its own threshold: midway between the least score that reached a set precision and the next one, or
+even odds; without enough good ones it adds nothing. Chosen candidates that overlap no base span are added.
+
+A column of spans is an array of struct(kind, start, end, bstart, bend): code points, end exclusive, and the same in UTF-8 bytes, ordered by
+kind as in KINDS, then start. Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; a
+table without candidates adds none. Columns other than doc_id and text aren't read (redact keeps them).
 
 Patterns are written so that Java's matcher neither recurses nor backtracks far in long runs: a match can only begin
-where its leading run begins or where the last match ended, and runs are possessive; the matches are the same.
+where its leading run begins or where the last match ended, and runs are possessive; the matches are the same. Places are
+running sums over the gaps and matches in blocks, and texts are cut by bytes, so time grows with the text and not with its square.
 """
 
 from __future__ import annotations
@@ -18,22 +22,33 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Fixed by the operator's definition.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-KINDS = ("email", "ip", "card", "phone", "number")
+KINDS = ("email", "ip", "card", "phone", "number", "secret")
 
 MAIL_LIKE = r"(?:(?<![^\s@,;:<>\"'()|\[\]])|\G)[^\s@,;:<>\"'()|\[\]]++@[^\s@,;:<>\"'()|\[\]]*[\p{L}0-9]"
 NUMBER_LIKE = r"(?<![0-9])[+(]?+[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+"
+RUN = r"(?<![0-9A-Za-z])[0-9]{7,}+(?![0-9A-Za-z])"
+PHONE_LIKE = r"(?<![0-9+])\+?[0-9]{0,3}[\x20.-]?\([0-9]{2,4}\)[\x20.-]?[0-9]{2,4}[\x20.-][0-9]{3,4}(?![0-9])"
+LONG_RUN = r"(?<![0-9A-Za-z_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[0-9A-Za-z_+/-]{16,}+"
 CUE = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|cell|host|addr|card|visa|iban|account|ssn)[^0-9A-Za-z]{0,4}\z"
-#: Generators: (name, pattern, a text must match this first).
-GENERATORS = (("email", MAIL_LIKE, "@"), ("number", NUMBER_LIKE, "[0-9]"))
+SECRET_CUE = r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|auth|bearer|credentials?)[^0-9A-Za-z]{0,6}\z"
+#: Generators: (kind, pattern, a text must match this first).
+GENERATORS = (("email", MAIL_LIKE, "@"), ("number", NUMBER_LIKE, "[0-9]"), ("card", RUN, "[0-9]{7}"), ("phone", PHONE_LIKE, r"\([0-9]{2,4}\)"), ("secret", LONG_RUN, "[0-9][A-Za-z_+/-]|[A-Za-z_+/-][0-9]"))
+SECRET = 4
+#: Characters of context to the left of a candidate; it ends at the match before.
+LEFT = 24
+#: Numbers summed one after the other, before blocks of them are.
+BLOCK = 256
 
 
 def digits(m: Column) -> Column:
@@ -47,24 +62,49 @@ def luhn(m: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, v: a + v) % 10 == 0
 
 
-def located(text: Column, pattern: str, valid=None) -> Column:
-    """array<struct<start,end>> of the pattern's valid matches: lengths of gaps and matches add up to the places."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+def running(values: Column, combine) -> Column:
+    """array<long>: of each number, what `combine` makes of 0 and all before it; block by block, so that arrays don't grow one by one."""
+    zero = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def step(acc: Column, v: Column) -> Column:
+        return F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), combine(acc["at"], v.cast("long")).alias("at"))
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, BLOCK))
+        done = F.transform(blocks, lambda x: F.aggregate(x, zero, step))
+        return let(done, lambda d: F.flatten(F.zip_with(d, F.aggregate(F.transform(d, lambda y: y["at"]), zero, step, lambda acc: acc["out"]), lambda y, o: F.transform(y["out"], lambda n: combine(n, o)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<bigint>")))
+
+
+def located(text: Column, pattern: str, valid=None, extra=None) -> Column:
+    """array<struct<start,end,bstart,bend>> of the pattern's valid matches. With extra, a function of (match, text to the left, first
+    character after, start, end), its fields come along."""
+    spans = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    spans = F.transform(spans, lambda x: F.struct(x["gap"].alias("gap"), F.coalesce(x["hit"], F.lit("")).alias("hit"), x["hit"].isNotNull().alias("is")))
+    add = lambda a, b: a + b
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        hit = F.coalesce(x["hit"], F.lit(""))
-        end = start + F.length(hit)
-        keep = x["hit"].isNotNull() & (valid(hit) if valid else F.lit(True))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], start.cast("string"), F.lit(":"), end.cast("string"), F.lit(","))).otherwise(acc["found"]).alias("found"))
+    def made(rows: Column) -> Column:
+        chars = running(F.transform(rows, lambda x: F.length(x["gap"]) + F.length(x["hit"])), add)
+        octets = running(F.transform(rows, lambda x: F.octet_length(x["gap"]) + F.octet_length(x["hit"])), add)
+        after = F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda x: F.substring(x["gap"], 1, 1))
+        both = F.arrays_zip(rows.alias("x"), chars.alias("c"), octets.alias("o"), after.alias("after"))
+        kept = F.filter(both, lambda r: r["x"]["is"] & (valid(r["x"]["hit"]) if valid else F.lit(True)))
 
-    named = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit")))
-    found = F.aggregate(named, F.struct(F.lit(0).alias("at"), F.lit("").alias("found")), step, lambda acc: acc["found"])
-    return F.transform(F.filter(F.split(found, ","), lambda s: s != ""), lambda s: F.struct(F.split(s, ":")[0].cast("int").alias("start"), F.split(s, ":")[1].cast("int").alias("end")))
+        def span(r: Column) -> Column:
+            start, bstart = r["c"] + F.length(r["x"]["gap"]), r["o"] + F.octet_length(r["x"]["gap"])
+            end, bend = start + F.length(r["x"]["hit"]), bstart + F.octet_length(r["x"]["hit"])
+            fields = [c.cast("int").alias(n) for n, c in (("start", start), ("end", end), ("bstart", bstart), ("bend", bend))]
+            more = extra(r["x"]["hit"], F.substring(r["x"]["gap"], -LEFT, LEFT), F.coalesce(r["after"], F.lit("")), start, end) if extra else []
+            return F.struct(*fields, *more)
+
+        return F.transform(kept, span)
+
+    return let(spans, made)
 
 
 def nothing() -> Column:
-    return F.array().cast("array<struct<start:int,end:int>>")
+    return F.array().cast("array<struct<start:int,end:int,bstart:int,bend:int>>")
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -79,20 +119,17 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def named(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["bstart"].alias("bstart"), s["bend"].alias("bend")))
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """Adds _text (never null) and one array column _kind for each base kind."""
+    """Adds _text (never null), one array column _kind for each base kind, and _base, all of them."""
     docs = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     return docs.withColumns({f"_{k}": c for k, c in base_spans(F.col("_text")).items()}).withColumn("_base", F.concat(*(named(k, F.col(f"_{k}")) for k in KINDS[:4])))
 
 
-def features(text: Column, s: Column, generator: int) -> list[Column]:
+def features(m: Column, left: Column, after: Column, generator: int) -> list[Column]:
     """Integers that describe the candidate's format and what stands around it."""
-    m = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    left = F.when(s["start"] >= 16, F.substring(text, s["start"] - 15, F.lit(16))).otherwise(F.substring(text, F.lit(1), s["start"]))
-    after = F.substring(text, s["end"] + 1, F.lit(1))
     flag = lambda c: c.cast("int")
     count = lambda p: F.length(m) - F.length(F.regexp_replace(m, p, ""))
     quad = m.rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}\z")
@@ -100,23 +137,27 @@ def features(text: Column, s: Column, generator: int) -> list[Column]:
         F.lit(generator), F.length(m), count("[0-9]"), count(r"\p{L}"), count(r"[ /()-]"), count(r"\."), flag(m.rlike(r"^\+[0-9]")),
         flag(count("[0-9]").between(13, 19) & luhn(m)), flag(quad), flag(m.rlike(r"^[^@]+@[^@]+\.[^@.]+\z")), flag(left.rlike(CUE)),
         flag(left.rlike(r"[\p{L}0-9._-]\z")), flag(after.rlike(r"[\p{L}0-9]")), F.coalesce(F.array_max(F.transform(F.split(m, "[^0-9]+"), lambda x: F.length(x))), F.lit(0)), flag(m.rlike(r"^\+?[0-9]? ?\([0-9]{3}\)")),
+        flag(m.rlike(r"^[0-9a-f]+\z")), flag(m.rlike("[a-z]") & m.rlike("[A-Z]")), flag(left.rlike(r"[\"'=:]\z")),
     ]
 
 
-N_FEATURES = 15
+N_FEATURES = 18
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """Adds _candidates: start, end, features x and base (whether a base span overlaps)."""
+    """Adds _candidates: places, features x, base (whether a base span overlaps) and good (what training takes it for)."""
     text = F.col("_text")
 
-    def described(g: int):  # a lambda with a default would get the place as its second argument
-        return lambda s: F.struct(
-            F.lit(g).alias("g"), s["start"].alias("start"), s["end"].alias("end"), F.array(*features(text, s, g)).alias("x"),
-            F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])).alias("base"),
-        )
+    def described(g: int):
+        def fields(m: Column, left: Column, after: Column, start: Column, end: Column) -> list[Column]:
+            base = F.exists(F.col("_base"), lambda b: (b["start"] < end) & (b["end"] > start))
+            good = left.rlike(SECRET_CUE) if g == SECRET else base
+            return [F.lit(g).alias("g"), F.array(*features(m, left, after, g)).alias("x"), base.alias("base"), good.alias("good")]
 
-    each = [F.transform(F.when(text.rlike(first), located(text, pattern)).otherwise(nothing()), described(g)) for g, (_, pattern, first) in enumerate(GENERATORS)]
+        return fields
+
+    kind = "array<struct<start:int,end:int,bstart:int,bend:int,g:int,x:array<int>,base:boolean,good:boolean>>"
+    each = [F.when(text.rlike(first), located(text, pattern, extra=described(g)).cast(kind)).otherwise(F.array().cast(kind)) for g, (_, pattern, first) in enumerate(GENERATORS)]
     return docs.withColumn("_candidates", F.concat(*each))
 
 
@@ -172,19 +213,27 @@ def as_column(tree, x: Column) -> Column:
 
 
 def fit(docs: DataFrame, max_docs: int = 20_000, max_candidates: int = 8_000, precision: float = 0.98) -> tuple[float, list, list[float]]:
-    """(start, trees, thresholds by generator as log-odds), from the candidates of about max_docs documents, max_candidates at most."""
+    """(start, trees, thresholds by generator as log-odds), from the candidates of about max_docs documents, at most max_candidates of
+    each generator. Half of the documents train the trees, the others set the thresholds."""
     n = docs.count()
-    part = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, math.ceil(n / max_docs)))) == 0)
-    rows = with_candidates(with_base(part)).select(F.explode("_candidates").alias("c")).select("c.x", "c.base").orderBy(F.xxhash64("x", "base")).limit(max_candidates).collect()
+    part = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(n / max_docs)))) == 0)
+    found = with_candidates(with_base(part)).select(F.xxhash64("doc_id", "text").alias("h"), F.explode("_candidates").alias("c"))
+    found = found.select("h", "c.g", "c.x", "c.good", F.row_number().over(Window.partitionBy("c.g").orderBy(F.xxhash64("h", "c.start"), "h", "c.start")).alias("nth")).where(F.col("nth") <= max_candidates)
+    rows = sorted(found.select("h", "x", "good").collect())
     if not rows:
         return 0.0, [], [math.inf] * len(GENERATORS)
-    x, y = np.array([r.x for r in rows], float), np.array([r.base for r in rows], float)
-    learn = np.arange(len(y)) % 2 == 0
+    x, y = np.array([r.x for r in rows], float), np.array([r.good for r in rows], float)
+    learn = np.array([(r.h >> 20) % 2 == 0 for r in rows])
+    if not learn.any() or learn.all():
+        return 0.0, [], [math.inf] * len(GENERATORS)
     start, trees = boost(x[learn], y[learn])
     z = start + sum(at(t, x[~learn]) for t in trees)
     limits = []
     for g in range(len(GENERATORS)):
         own = x[~learn][:, 0] == g
+        if not own.any():
+            limits.append(math.inf)
+            continue
         order = np.argsort(-z[own], kind="stable")
         zs, good = z[own][order], np.cumsum(y[~learn][own][order])
         exact = good / np.arange(1, len(zs) + 1)
@@ -194,24 +243,28 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_candidates: int = 8_000, pr
     return start, trees, limits
 
 
+def log_odds(x: Column, start: float, trees: list) -> Column:
+    return sum((as_column(t, x) for t in trees), F.lit(start))
+
+
 def find(docs: DataFrame, model=None, **how) -> DataFrame:
     """docs with the columns _base and _spans (base and chosen candidates); other columns that begin with _ are helpers."""
     start, trees, limits = model if model is not None else fit(docs, **how)
     out = with_base(docs)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,bstart:int,bend:int>>")
     if not trees or all(math.isinf(t) for t in limits):
         return out.withColumn("_added", none).withColumn("_spans", F.col("_base"))
     out = with_candidates(out)
 
     def chosen(c: Column) -> Column:
-        z = F.lit(start)
-        for t in trees:
-            z = z + as_column(t, c["x"])
-        limit = F.when(c["g"] == 0, F.lit(min(limits[0], 1e9))).otherwise(F.lit(min(limits[1], 1e9)))
-        return ~c["base"] & (z >= limit)
-
-    kind = lambda c: F.when(c["g"] == 0, F.lit("email")).otherwise(F.lit("number"))
-    out = out.withColumn("_added", F.transform(F.filter("_candidates", chosen), lambda c: F.struct(kind(c).alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
+        limit = F.lit(math.inf)
+        for g, t in enumerate(limits):
+            if not math.isinf(t):
+                limit = F.when(c["g"] == g, F.lit(t)).otherwise(limit)
+        return ~c["base"] & (log_odds(c["x"], start, trees) >= limit)
+
+    kind = lambda c: F.element_at(F.array(*(F.lit(k) for k, _, _ in GENERATORS)), c["g"] + 1)
+    out = out.withColumn("_added", F.transform(F.filter("_candidates", chosen), lambda c: F.struct(kind(c).alias("kind"), *(c[n].alias(n) for n in ("start", "end", "bstart", "bend")))))
     of_kind = lambda k: lambda s: s["kind"] == k
     merged = F.concat(*(F.array_sort(F.filter(F.concat("_base", "_added"), of_kind(k))) for k in KINDS))
     return out.withColumn("_spans", F.when(F.size("_added") > 0, merged).otherwise(F.col("_base")))
@@ -224,16 +277,17 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, model=None, **how) -> DataFrame:
     """docs with each span, or run of overlapping spans, of text replaced by its first kind in brackets; n_chars follows."""
     found = find(docs, model, **how)
-    order = F.array_sort("_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    by_place = F.array_sort("_spans", lambda a, b: F.when(a["bstart"] != b["bstart"], a["bstart"] - b["bstart"]).otherwise(b["bend"] - a["bend"]))
+    raw = F.col("_text").cast("binary")
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        gap = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"))
+    def rewritten(spans: Column) -> Column:
+        reached = running(F.transform(spans, lambda s: s["bend"]), lambda a, b: F.greatest(a, b))  # where the spans before end
+        both = F.filter(F.arrays_zip(spans.alias("s"), reached.alias("to")), lambda r: r["s"]["bstart"] >= r["to"])
+        pieces = F.transform(both, lambda r: F.concat(F.substring(raw, (r["to"] + 1).cast("int"), (r["s"]["bstart"] - r["to"]).cast("int")).cast("string"), F.lit("["), F.upper(r["s"]["kind"]), F.lit("]")))
+        rest = F.substring(raw, F.array_max(F.transform(spans, lambda s: s["bend"])) + 1, F.octet_length("_text")).cast("string")
+        return F.concat(F.array_join(pieces, ""), rest)
 
-    whole = F.aggregate(
-        order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text")))
-    )
+    whole = let(by_place, rewritten)
     text = F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))
     columns = []
     for f in docs.schema:
@@ -251,5 +305,5 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
 
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
-        "doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]), F.sha2(joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans")
+        "doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]), F.sha2(joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"), F.size("_added").cast("long").alias("n_added")
     )

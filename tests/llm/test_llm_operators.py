@@ -163,6 +163,41 @@ def test_candidates_like_the_known_are_added_and_base_stays(spark):
     assert red[0] == "mail: [EMAIL], or call 0" and red[501] == "mail: [EMAIL]." and red[300] == texts[300]
 
 
+def test_candidates_in_compound_runs_and_secrets_are_added(spark):
+    rng = np.random.default_rng(21)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(200)]
+    card = lambda: next(n for n in (str(rng.integers(10**15, 10**16)) for _ in range(10**6)) if luhn_ok(n))
+    texts = [f"sent with {card()} today and {rng.integers(10**15, 10**16) // 2 * 2} too" for _ in range(200)] + [f'the token = "{h}" is longwordwithoutdigits{i}' for i, h in enumerate(hexes)]
+    extra = [f"{card()} {card()} both", f'plain "{hexes[0][::-1]}" alone', "antidisestablishmentarianism"]
+    d = docs(spark, texts + extra)
+    out = {r.doc_id: r for r in pii.find(d, pii.fit(d)).select("doc_id", pii.joined(F.col("_base")).alias("b"), pii.joined(F.col("_spans")).alias("s")).collect()}
+    assert out[400].b == "" and out[400].s == "card:0:16,card:17:33"
+    assert out[401].s == "secret:7:47" and out[402].s == ""
+    assert all(out[200 + i].s == "secret:13:53" for i in range(200))
+    for i in range(200):
+        assert out[i].s == out[i].b
+
+
+def luhn_ok(n):
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(n)))) % 10 == 0
+
+
+def test_trees_as_columns_equal_trees(spark):
+    rng = np.random.default_rng(22)
+    x = rng.integers(0, 6, (400, pii.N_FEATURES))
+    start, trees = pii.boost(x.astype(float), ((x[:, 1] + x[:, 4] > 5) ^ (x[:, 7] > 3)).astype(float))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<int>")
+    got = {r.i: r.z for r in rows.select("i", pii.log_odds(F.col("x"), start, trees).alias("z")).collect()}
+    want = start + sum(pii.at(t, x.astype(float)) for t in trees)
+    assert [got[i] for i in range(400)] == pytest.approx(want.tolist())
+
+
+def test_running_and_redaction_of_many_spans(spark):
+    texts = ["ü a@b.co, " * 3000, "no", "+1 (017) 555-7713 a@b.co"]
+    out = {r.doc_id: r.text for r in pii.redact(docs(spark, texts), (0.0, [], [])).collect()}
+    assert out == {0: "ü [EMAIL], " * 3000, 1: "no", 2: "[PHONE] [EMAIL]"}
+
+
 def test_no_documents_no_spans(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
