@@ -364,5 +364,30 @@ def test_copies_are_found(spark):
     assert hashlib.md5(b"junk").hexdigest() and out[202].n_corners == 0
 
 
+def test_copies_that_meet_are_those_of_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, media.write_pgm(media.picture(i))) for i in range(400)]
+    seen = media.corners(spark.createDataFrame(rows, "id long, media binary")).toPandas()
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.int64()) for n, t in media.CORNER]))
+    each = media.fields(pa.array([[r.asDict() for r in c] for c in seen.corners], kind))
+    some = [k for k in range(400) if seen.id[k] % 8 < 4]
+    good = lambda p, q, n: n >= media.AGREE and n >= media.AGREE_SHARE * min(len(p["y"]), len(q["y"]))
+    want = {tuple(sorted((int(seen.id[i]), int(seen.id[j])))) for x, i in enumerate(some) for j in some[:x] if good(each[i], each[j], media.consensus(each[i], each[j]))}
+    out = media.copies(spark.createDataFrame(rows, "id long, media binary")).select("id", "component_id").collect()
+    of = {r.id: r.component_id for r in out}
+    assert len(want) >= 100 and sum(of[a] == of[b] for a, b in want) >= 0.95 * len(want)
+    assert all(of[i] == i for i in range(400) if i % 8 > 2)
+
+
+def test_media_with_clashing_columns_ties_and_repeated_rows(spark):
+    pic = media.write_pgm(media.picture(3))
+    rows = [(5, pic, "d", 1), (5, pic, "d", 1), (None, pic, "x", 2), (7, pic, None, 3), (8, None, "q", 4), (9, media.write_pgm(np.full((64, 64), 7)), "q", 4)]
+    out = media.copies(spark.createDataFrame(rows, "id long, media binary, digest string, corners int").select("id", "media")).collect()
+    assert sorted(((r.id, r.component_id) for r in out), key=str) == [(5, 5), (5, 5), (7, 5), (8, 8), (9, 9), (None, 5)]
+
+
 def test_no_media(spark):
     assert media.copies(spark.createDataFrame([], "id long, media binary")).count() == 0

@@ -200,7 +200,7 @@ def test_pictures_copies_share_descriptors():
     tests = pattern = media.pattern()
     assert pattern.shape == (media.TURNS, media.BITS, 2, 2) and np.abs(pattern).max() <= media.EDGE
     a, crop, edit, other = (media.describe(media.picture(i)[None], tests)[0] for i in (8, 9, 10, 11))
-    bits = lambda ds: {d[3] for d in ds}
+    bits = lambda ds: {d[4] for d in ds}
     assert len(bits(a) & bits(crop)) >= media.AGREE and len(bits(a) & bits(edit)) >= 3
     assert len(bits(a) & bits(other)) == 0
 
@@ -212,5 +212,33 @@ def test_unreadable_media(raw):
     assert (media.read_pgm(media.write_pgm(np.arange(12).reshape(3, 4))) == np.arange(12).reshape(3, 4)).all()
 
 
+@pytest.mark.parametrize("pixel", [9, 10, 13, 32, 35, 48, 255])
+def test_any_pixels_are_read(pixel):
+    a = np.full((30, 30), pixel, np.uint8)
+    assert (media.read_pgm(media.write_pgm(a)) == a).all()
+    assert (media.read_pgm(b"P5 # made # by hand\n#x\n 30\t30\n255\r" + a.tobytes()) == a).all()
+
+
+def described(a):
+    found = media.describe(np.rint(a)[None].astype(np.uint8), media.pattern())[0]
+    cols = [np.array(c) for c in zip(*((s, t, y, x, *np.frombuffer(d, "<i8")) for s, t, y, x, d in found), strict=True)]
+    return dict(zip((n for n, _ in media.CORNER), cols, strict=True))
+
+
+def test_consensus_finds_turned_and_halved_copies_and_no_strangers():
+    big = [media.picture(k, 256) for k in (3, 4, 5, 11, 12)]
+    # corners on crossings of patches, not on the frame
+    first = described(big[0])
+    assert len(first["y"]) > 60
+    need = lambda p, q: max(media.AGREE, media.AGREE_SHARE * min(len(p["y"]), len(q["y"])))
+    half = described(big[0].reshape(128, 2, 128, 2).mean((1, 3)))
+    turned, crop = described(np.rot90(big[0])), described(big[0][40:120, 60:150])
+    for copy in (half, turned, crop):
+        assert media.consensus(first, copy) >= need(first, copy)
+    others = [described(a) for a in big[1:]]
+    every = [first, *others]
+    assert all(media.consensus(p, q) < need(p, q) for i, p in enumerate(every) for q in every[:i])
+
+
 def test_crc_of_pieces_is_that_of_the_bytes():
     assert zlib.crc32(np.array([1], "<u4").tobytes()) == 2583214201
