@@ -5,7 +5,9 @@ from all of them. P(c | context of k characters) is mixed with that of k - 1 in
 unseen contexts fall back to shorter ones. The score of a url is the mean over its characters of the difference of
 the models' log-likelihoods; Platt's sigmoid, fitted on labelled urls held out of the counts, turns it into a probability.
 
-Counts live in hashed tables of 2**BITS cells, which bounds what is collected and sent to the tasks for any number of urls.
+Counts are exact and grow with the urls: a table of distinct n-grams of the longest order, from which the shorter orders' follow. Up to
+most_grams of them they go to every task, which is checked by counting; beyond, the urls' distinct n-grams are joined to the
+tables of all orders. Both give the same scores. Equal urls are scored once.
 
 Defined results: a null url, or one without "://", has empty host and path and no rule; a null or empty url scores 0, hence
 the sigmoid's intercept decides; without labelled urls of both classes everything unruled is allowed. Repeated rows are
@@ -16,19 +18,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: (host, start of path, verdict); the longest rule that fits wins.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+#: Bytes before the one that is predicted; the longest n-gram, of one byte more, fits a long.
 ORDER = 5
-BITS = 18
 ALPHA = 2.0
-CELLS = 1 << BITS
+#: Distinct n-grams up to which the model is sent to the tasks, about 60 bytes each in all orders.
+MOST_GRAMS = 3_000_000
 
 
 def _rest(url: Column) -> Column:
@@ -56,86 +60,124 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("ruled", verdict)
 
 
-def grams(urls: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner of each character (its url's place), and its context's and its n-gram's cell for each order: (characters, order + 1)."""
+def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Owner of each byte (its url's place), and the byte with the ORDER before it in one number, the byte lowest; zeros stand before the url."""
     raw = [u.lower().encode("utf-8", "replace") for u in urls]
     lens = np.fromiter(map(len, raw), np.int64, len(raw))
     owner = np.repeat(np.arange(len(raw)), lens)
-    chars = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
+    chars = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
     at = np.arange(len(chars)) - np.repeat(np.cumsum(lens) - lens, lens)
-    ctx, gram = np.empty((len(chars), order + 1), np.int64), np.empty((len(chars), order + 1), np.int64)
-    h = np.zeros(len(chars), np.uint64)
-    mult, mix, mask = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(CELLS - 1)
-
-    def cell(x):
-        x = x * mult
-        return ((x ^ (x >> np.uint64(29))) * mix >> np.uint64(64 - BITS) & mask).astype(np.int64)
-
-    for k in range(order + 1):
-        if k:
-            before = np.zeros(len(chars), np.uint64)
-            before[k:] = chars[:-k]
-            before[at < k] = np.uint64(300)  # the url's start
-            h = h * np.uint64(1_000_003) + before
-        tagged = h * np.uint64(8) + np.uint64(k)
-        ctx[:, k], gram[:, k] = cell(tagged * np.uint64(1031)), cell(tagged * np.uint64(1031) + chars)
-    return owner, ctx, gram
-
-
-@dataclass
-class Ratio:
-    """Counts by cell of (contexts, n-grams) of the two classes, and the sigmoid's slope and intercept."""
+    gram = chars.copy()
+    for k in range(1, ORDER + 1):
+        before = np.zeros(len(chars), np.int64)
+        before[k:] = chars[:-k]
+        before[at < k] = 0
+        gram |= before << (8 * k)
+    return owner, gram
+
 
-    counts: np.ndarray
-    slope: float = 1.0
-    shift: float = 0.0
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts (two columns)."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+class Ratio:
+    """Exact counts (allowed, blocked) of n-grams of all orders and of their contexts, from those of the longest, and the sigmoid."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, slope: float = 1.0, shift: float = 0.0):
+        self.slope, self.shift, self.orders = slope, shift, []
+        for k in range(ORDER + 1):
+            hits = added(keys & ((1 << 8 * (k + 1)) - 1), counts)
+            self.orders.append((hits, added(hits[0] >> 8, hits[1])))
+
+    @staticmethod
+    def found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+        own, counts = table
+        if not len(own):
+            return np.zeros((len(keys), 2))
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        return counts[at] * (own[at] == keys)[:, None]
+
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """Log-likelihood under the blocked model less that under the allowed one, of distinct grams."""
+        p = np.full((len(keys), 2), 1 / 256)
+        for k, (hits, contexts) in enumerate(self.orders):
+            own = keys & ((1 << 8 * (k + 1)) - 1)
+            p = (self.found(hits, own) + ALPHA * p) / (self.found(contexts, own >> 8) + ALPHA)
+        return np.log(p[:, 1]) - np.log(p[:, 0])
 
     def score(self, urls: list[str]) -> np.ndarray:
-        """Mean log-likelihood under the blocked model less that under the allowed one."""
-        owner, ctx, gram = grams(urls)
-        p = np.full((2, len(owner)), 1 / 256)
-        for k in range(ctx.shape[1]):
-            for c in (0, 1):
-                n, hit = self.counts[c, 0, ctx[:, k]], self.counts[c, 1, gram[:, k]]
-                p[c] = (np.minimum(hit, n) + ALPHA * p[c]) / (n + ALPHA)
+        """Mean over the url's bytes."""
+        owner, gram = grams(urls)
+        kinds, back = np.unique(gram, return_inverse=True)
         n = np.maximum(np.bincount(owner, minlength=len(urls)), 1)
-        return np.bincount(owner, np.log(p[1]) - np.log(p[0]), len(urls)) / n
+        return np.bincount(owner, self.ratios(kinds)[back], len(urls)) / n
 
 
-def fit(pages: DataFrame) -> Ratio:
-    """pages: url, ruled. A fifth of the labelled urls, by hash, is kept out of the counts and calibrates the score."""
-    held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    known = pages.where(F.col("ruled").isNotNull() & F.col("url").isNotNull()).select("url", (F.col("ruled") == "block").alias("bad"), held.alias("held"))
+def counted(known: DataFrame) -> DataFrame:
+    """(gram, a, b): in how many places of allowed and of blocked urls each gram stands. Summed in each task before the shuffle."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, CELLS), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            urls, bad = b.column("url").to_pylist(), b.column("bad").to_numpy(zero_copy_only=False)
-            owner, ctx, gram = grams(urls)
-            for c in (0, 1):
-                own = bad[owner] == bool(c)
-                total[c, 0] += np.bincount(ctx[own].ravel(), minlength=CELLS)
-                total[c, 1] += np.bincount(gram[own].ravel(), minlength=CELLS)
-        cells = np.flatnonzero(total.any((0, 1)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cells), *(pa.array(total[c, k, cells]) for c in (0, 1) for k in (0, 1))], names=["cell", "a0", "a1", "b0", "b1"]
-        )
-
-    sums = known.where(~F.col("held")).select("url", "bad").mapInArrow(count, "cell long, a0 long, a1 long, b0 long, b1 long")
-    counts = np.zeros((2, 2, CELLS))
-    for r in sums.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1"))).collect():  # CELLS rows at most
-        counts[:, :, r.cell] = ((r.a0, r.a1), (r.b0, r.b1))
-    model = Ratio(counts)
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bad = b.column("bad").to_numpy(zero_copy_only=False)
+            owner, gram = grams(b.column("url").to_pylist())
+            keys, n = added(gram, np.stack([~bad[owner], bad[owner]], 1).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["gram", "a", "b"])
+
+    return known.select("url", "bad").mapInArrow(run, "gram long, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def model_of(counts: DataFrame, most_grams: int) -> Ratio | None:
+    """The model in memory, if its distinct grams are most_grams at most."""
+    if counts.limit(most_grams + 1).count() > most_grams:
+        return None
+    rows = counts.toArrow()
+    return Ratio(rows.column("gram").to_numpy(), np.stack([rows.column(c).to_numpy() for c in ("a", "b")], 1).astype(np.float64))
+
+
+def scored_by_model(urls: DataFrame, model: Ratio) -> DataFrame:
+    """(url, score) of distinct urls; the model goes to every task."""
+    shared = urls.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.clip(np.round(model.score(b.column("url").to_pylist()) * 50), -500, 500).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("bad")], names=["bin", "bad"])
+            yield pa.RecordBatch.from_arrays([b.column("url"), pa.array(shared.value.score(b.column("url").to_pylist()))], names=["url", "score"])
+
+    return urls.select("url").mapInArrow(run, "url string, score double")
+
+
+def scored_by_join(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(url, score) of distinct urls, for models of any size: the ratio of each distinct gram of the urls comes from joins with the
+    tables of all orders; then each url sums those of its grams."""
 
-    found = known.where("held").select("url", "bad").mapInArrow(binned, "bin int, bad boolean").groupBy("bin", "bad").count().collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, gram = grams(b.column("url").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("url").take(pa.array(owner)), pa.array(gram)], names=["url", "gram"])
+
+    places = cut(urls.select("url").mapInArrow(run, "url string, gram long"), "grams")
+    out = places.select("gram").distinct().withColumn("pa", F.lit(1 / 256)).withColumn("pb", F.lit(1 / 256))
+    for k in range(ORDER + 1):
+        own = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        sums = lambda key, names: counts.groupBy(key.alias(names[0])).agg(F.sum("a").alias(names[1]), F.sum("b").alias(names[2]))
+        hits, contexts = sums(own, ("h", "ha", "hb")), sums(F.shiftright(own, 8), ("c", "ca", "cb"))
+        out = out.withColumn("h", own).withColumn("c", F.shiftright(own, 8)).join(hits, "h", "left").join(contexts, "c", "left")
+        p = lambda x: (F.coalesce(f"h{x}", F.lit(0)) + ALPHA * F.col(f"p{x}")) / (F.coalesce(f"c{x}", F.lit(0)) + ALPHA)  # noqa: B023, E731
+        out = cut(out.select("gram", p("a").alias("pa"), p("b").alias("pb")), "ratios")
+    ratio = out.select("gram", (F.log("pb") - F.log("pa")).alias("ratio"))
+    return places.join(ratio, "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
+
+
+def sigmoid(scored: DataFrame) -> tuple[float, float]:
+    """Slope and intercept from labelled urls (score, bad), in bins of a fiftieth."""
+    at = F.least(F.greatest(F.round(F.col("score") * 50), F.lit(-500.0)), F.lit(500.0)).cast("int")
+    found = scored.groupBy(at.alias("bin"), "bad").count().collect()  # 1001 bins of two classes
     x, y, n = (np.array([float(v) for v in c]) for c in (zip(*((r.bin / 50, r.bad, r["count"]) for r in found), strict=True) if found else ((), (), ())))
     if not (0 < (y * n).sum() < n.sum()):
-        return Ratio(counts, 0.0, -5.0)
+        return 0.0, -5.0
     a, b = 1.0, 0.0
     w = n * np.where(y > 0, n.sum() / (2 * (y * n).sum()), n.sum() / (2 * ((1 - y) * n).sum()))  # classes weigh alike
     for _ in range(100):  # Newton's method with a small ridge
@@ -147,25 +189,23 @@ def fit(pages: DataFrame) -> Ratio:
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break
-    return Ratio(counts, float(a), float(b))
-
+    return float(a), float(b)
 
-def judge(pages: DataFrame, threshold: float = 0.5, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, p_block): p_block is the calibrated probability, also where a rule decides."""
-    ruled = with_rule(pages.select("page_id", "url"), rules)
-    model = fit(ruled)
-    shared = pages.sparkSession.sparkContext.broadcast(model.counts.astype(np.float32))  # 4 * CELLS numbers
-    slope, shift = model.slope, model.shift
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Ratio(shared.value, slope, shift)
-        for b in batches:
-            s = own.score([u or "" for u in b.column("url").to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(slope * s + shift, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule", "ruled")), pa.array(p)], names=["page_id", "host", "path", "rule", "ruled", "p_block"])
+def judge(pages: DataFrame, threshold: float = 0.5, rules=RULES, most_grams: int = MOST_GRAMS) -> DataFrame:
+    """(page_id, host, path, rule, verdict, p_block): p_block is the calibrated probability, also where a rule decides.
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ruled.schema if f.name != "url")
-    out = ruled.select("url", "page_id", "host", "path", "rule", "ruled").mapInArrow(run, f"{kinds}, p_block double")
+    A fifth of the labelled urls, by hash, is kept out of the counts and calibrates the score.
+    """
+    ruled = cut(with_rule(pages.select("page_id", "url"), rules), "ruled")
+    labelled = ruled.where(F.col("ruled").isNotNull() & F.col("url").isNotNull()).select("url", (F.col("ruled") == "block").alias("bad"))
+    held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    counts = cut(counted(labelled.where(~held)), "counts")
+    urls = ruled.where(F.col("url") != "").select("url").distinct()
+    model = model_of(counts, most_grams)
+    scores = cut(scored_by_join(urls, counts) if model is None else scored_by_model(urls, model), "scores")
+    slope, shift = sigmoid(labelled.where(held).join(scores, "url"))
+    out = ruled.join(scores, "url", "left").withColumn("p_block", 1 / (1 + F.exp(-(slope * F.coalesce("score", F.lit(0.0)) + shift))))
     verdict = F.coalesce("ruled", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "p_block")
 

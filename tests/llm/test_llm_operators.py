@@ -276,7 +276,7 @@ def test_neighbours_against_brute_force(spark):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     rows += [(700, None, 1), (720, [0.0] * 16, 1), (740, [float("nan")] * 16, 1), (760, [None] * 16, 1), (780, [], 1), (800, [1.0, 2.0], 1), (None, [1.0] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    out = neighbours.search(df, lambda i: i % 20 == 0, 20, block=200, queries=16).collect()
+    out = neighbours.search(df, lambda i: i % 20 == 0, 20, block=200, least_block=100).collect()
     ids, y = np.arange(700), x.astype(np.float64)
     got = collections.defaultdict(dict)
     for r in out:
@@ -311,6 +311,18 @@ def test_hosts_paths_and_rules(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_verdicts_follow_the_models_in_memory_and_by_join(spark):
+    rng = np.random.default_rng(6)
+    urls = [f"http://h{rng.integers(9)}.com/en/{'spam' if i % 2 else 'promo'}{rng.integers(99)}" for i in range(120)] + [f"http://h{rng.integers(9)}.net/de/{'news' if i % 2 else 'essay'}{rng.integers(99)}" for i in range(120)]
+    free = ["http://x.info/aa/spam12", "http://x.info/aa/news12", "http://x.info/aa/essay7", "http://x.info/aa/promo7", "http://x.info/" + "aa/" * 3000] + ["http://x.info/aa/spam12"] * 3
+    df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls + free)], "page_id long, url string, rule string")
+    one = {r.page_id: r for r in url_filter.judge(df).collect()}
+    two = {r.page_id: r for r in url_filter.judge(df, most_grams=0).collect()}
+    assert set(one) == set(two) == set(range(len(urls + free)))
+    assert all(one[i].p_block == pytest.approx(two[i].p_block, abs=1e-9) and one[i].verdict == two[i].verdict for i in one)
+    assert [one[240 + i].verdict for i in (0, 1, 2, 3, 5, 6, 7)] == ["block", "allow", "allow", "block", "block", "block", "block"]
+
+
 # --- classifiers
 
 

@@ -171,17 +171,40 @@ def test_neighbours_in_a_block_reach_recall():
 
 def test_url_model_tells_classes_apart():
     good, bad = [f"http://a{i}.example.net/de/{i}" for i in range(300)], [f"http://spam{i}.example.com/en/{i}" for i in range(300)]
-    counts = np.zeros((2, 2, url_filter.CELLS))
-    for c, urls in enumerate((good, bad)):
-        _, ctx, gram = url_filter.grams(urls[:200])
-        counts[c, 0] = np.bincount(ctx.ravel(), minlength=url_filter.CELLS)
-        counts[c, 1] = np.bincount(gram.ravel(), minlength=url_filter.CELLS)
-    model = url_filter.Ratio(counts)
+    parts = [url_filter.grams(urls[:200])[1] for urls in (good, bad)]
+    ones = np.concatenate([np.tile(row, (len(p), 1)) for row, p in zip(([1.0, 0.0], [0.0, 1.0]), parts, strict=True)])
+    model = url_filter.Ratio(*url_filter.added(np.concatenate(parts), ones))
+    assert model.score(bad[200:203]) == pytest.approx([by_dictionaries(u, good[:200], bad[:200]) for u in bad[200:203]])
     assert (model.score(good[200:]) < 0).all() and (model.score(bad[200:]) > 0).all()
     assert model.score([""]).tolist() == [0.0]
     assert np.allclose(model.score([*good[:3], *bad[:3]]), np.concatenate([model.score(good[:3]), model.score(bad[:3])]))
 
 
+def by_dictionaries(url, good, bad):
+    """The mean ratio, from counts of strings."""
+
+    def model(urls):
+        hit, seen = {}, {}
+        for u in urls:
+            w = "\0" * url_filter.ORDER + u.lower()
+            for i in range(url_filter.ORDER, len(w)):
+                for k in range(url_filter.ORDER + 1):
+                    c = w[i - k : i]
+                    hit[c + w[i]] = hit.get(c + w[i], 0) + 1
+                    seen[k, c] = seen.get((k, c), 0) + 1
+        return hit, seen
+
+    total, w = 0.0, "\0" * url_filter.ORDER + url.lower()
+    for sign, (hit, seen) in ((-1, model(good)), (1, model(bad))):
+        for i in range(url_filter.ORDER, len(w)):
+            p = 1 / 256
+            for k in range(url_filter.ORDER + 1):
+                c = w[i - k : i]
+                p = (hit.get(c + w[i], 0) + url_filter.ALPHA * p) / (seen.get((k, c), 0) + url_filter.ALPHA)
+            total += sign * math.log(p)
+    return total / len(url)
+
+
 def test_trees_learn_and_equal_their_numbers():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 10, (600, 4)).astype(float)
