@@ -34,7 +34,7 @@ from .common import cut
 #: Projections, width of a window in radii, deviations of slack in the collision threshold, growth of the radius.
 M, WIDTH, Z, GROWTH = 48, 1.0, 1.8, 1.3
 #: Rows of a block, the fewest that are worth one, and vectors of the sample that bounds the scores.
-BLOCK, LEAST_BLOCK, SAMPLE = 16_384, 2_048, 4_096
+BLOCK, LEAST_BLOCK, SAMPLE = 16_384, 8_192, 4_096
 
 
 def chance(width: float) -> float:
@@ -43,49 +43,64 @@ def chance(width: float) -> float:
 
 
 class Block:
-    """Sorted projections of unit vectors x; own holds what scores are computed from."""
+    """Sorted projections of unit vectors x, and the place of each vector in each; own holds what scores are computed from."""
 
     def __init__(self, x: np.ndarray, own: np.ndarray, ids: np.ndarray, seed: int = 20_240_229):
         rng = np.random.default_rng(seed)
         self.a = rng.standard_normal((x.shape[1], M))
-        p = x @ self.a
-        self.order = np.argsort(p, axis=0).T.copy()
-        self.sorted = np.take_along_axis(p, self.order.T, 0).T.copy()
+        p = (x @ self.a).T
+        self.order = np.argsort(p, axis=1)
+        self.sorted = np.take_along_axis(p, self.order, 1)
+        # all arrays in one, each moved beyond the one before; needles are kept within reach of their own
+        self.reach = float(np.abs(p).max()) + 1.0
+        self.rows = np.tile(np.arange(M) * 4 * self.reach, 2)
+        self.begins = np.arange(M) * len(ids)
+        self.flat = (self.sorted + self.rows[:M, None]).ravel()
+        self.place = np.empty(p.shape, np.uint16 if len(ids) < 1 << 15 else np.uint32)
+        np.put_along_axis(self.place, self.order, np.arange(len(ids), dtype=self.place.dtype)[None], 1)
         self.own, self.ids, self.most = own, ids, len(ids)
 
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many arrays each vector lies in the window: from the windows' members while they are few, else from all places."""
+        size = high - low
+        if size.sum() * 8 < M * self.most:
+            return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]), minlength=self.most)
+        kind = self.place.dtype
+        inside = (self.place - low.astype(kind)[:, None]) < size.astype(kind)[:, None]  # wraps below the window
+        return np.add.reduce(inside.view(np.uint8), 0, dtype=np.uint8)
+
     def search(self, q: np.ndarray, own_q: np.ndarray, query_id: int, scale: float, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of at most k rows. least: a score that k candidates elsewhere are known to reach."""
+        """(ids, scores) of at most k rows. least: a score that k candidates are known to reach."""
         at = q @ self.a
-        counts = np.zeros(self.most, np.int16)
         done = self.ids == query_id
-        low = high = None
         best_s, best_i = np.empty(0), np.empty(0, np.int64)
         need = math.floor(M * chance(WIDTH) - Z * math.sqrt(M * chance(WIDTH) * (1 - chance(WIDTH))))
-        radius = 0.4
+
+        def last(bar: float) -> float:
+            """The radius within which scores are bar or more."""
+            return math.sqrt(max(2 * (1 - bar / scale), 0.0))
+
+        radius = 0.4 if math.isinf(least) else max(last(least) / GROWTH, 1e-3)
         while True:
-            new_low = np.array([s.searchsorted(v) for s, v in zip(self.sorted, at - WIDTH * radius, strict=True)])
-            new_high = np.array([s.searchsorted(v, "right") for s, v in zip(self.sorted, at + WIDTH * radius, strict=True)])
-            whole = bool((new_low == 0).all() and (new_high == self.most).all())
-            if low is None:
-                parts = [o[a:b] for o, a, b in zip(self.order, new_low, new_high, strict=True)]
-            else:
-                parts = [o[a:b] for o, a, b in zip(self.order, new_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, new_high, strict=True)]
-            low, high = new_low, new_high
-            counts += np.bincount(np.concatenate(parts), minlength=self.most).astype(np.int16)
-            found = np.flatnonzero(((counts >= need) | whole) & ~done)
+            low, high = self.flat.searchsorted(np.concatenate([at - WIDTH * radius, at + WIDTH * radius]).clip(-self.reach, self.reach) + self.rows).reshape(2, M) - self.begins
+            whole = bool((low == 0).all() and (high == self.most).all())
+            found = np.flatnonzero(~done & ((self.collisions(low, high) >= need) | whole))
             if len(found):
                 done[found] = True
-                best_s = np.concatenate([best_s, self.own[found] @ own_q])
+                scores = self.own[found] @ own_q if len(found) * 16 < self.most else (self.own @ own_q)[found]
+                best_s = np.concatenate([best_s, scores])
                 best_i = np.concatenate([best_i, self.ids[found]])
+                if len(best_s) > 8 * k:  # keeps all that are as good as the k-th
+                    some = np.flatnonzero(best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k])
+                    best_s, best_i = best_s[some], best_i[some]
                 if len(best_s) > k:
                     top = np.lexsort((best_i, -best_s))[:k]
                     best_s, best_i = best_s[top], best_i[top]
             # at this radius, a vector scores scale * (1 - radius**2 / 2) or more
-            inside = scale * (1 - radius * radius / 2)
             bar = max(least, best_s.min() if len(best_s) >= k else -math.inf)
-            if whole or bar >= inside:
+            if whole or (len(best_s) >= k and bar >= scale * (1 - radius * radius / 2)):
                 return best_i, best_s
-            radius *= GROWTH
+            radius = min(radius * GROWTH, last(bar) + 1e-9) if len(best_s) >= k else radius * GROWTH
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -172,8 +187,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
                 for i, q, bar in zip(ids.tolist(), x, bars.tolist(), strict=True):
                     norm = float(np.linalg.norm(q))
                     found, scores = index.search(np.append(q / norm, 0.0), q, i, norm * math.sqrt(most), k, -math.inf if math.isnan(bar) else bar)
-                    fine = scores >= bar if not math.isnan(bar) else np.ones(len(scores), bool)
-                    for c, y in zip(out, (np.full(int(fine.sum()), i), found[fine], scores[fine]), strict=True):
+                    for c, y in zip(out, (np.full(len(found), i), found, scores), strict=True):
                         c.append(y)
             q, i, s = (np.concatenate(c) for c in out)
             yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(s)], names=["query_id", "id", "score"])
