@@ -172,8 +172,12 @@ def title(text: Column | str, start: Column, end: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """Seconds as s, minutes or hours with two places."""
-    return F.when(seconds < 60, F.format_string("%.2fs", seconds)).when(seconds < 3600, F.format_string("%.2fmin", seconds / 60)).otherwise(F.format_string("%.2fhr", seconds / 3600))
+    """Seconds as s, minutes or hours with two places, halves rounded up."""
+
+    def shown(per: int, unit: str) -> Column:
+        return let(F.floor(seconds * 100 / per + 0.5), lambda n: F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"), F.lit(unit)))
+
+    return F.when(seconds < 60, shown(1, "s")).when(seconds < 3600, shown(60, "min")).otherwise(shown(3600, "hr"))
 
 
 def is_pascal_case(name: Column | str) -> Column:

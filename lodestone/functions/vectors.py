@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -33,8 +35,8 @@ def distance(a: Column, b: Column, kind: str = "cosine") -> Column:
 
 
 def normalised(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda v: F.coalesce(F.try_divide(v.cast("double"), n), F.lit(0.0)))
+    """To unit length; the norm is computed once, not once a component. The zero vector stays."""
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))))
 
 
 def shortened(a: Column, dim: int) -> Column:
@@ -45,8 +47,8 @@ def shortened(a: Column, dim: int) -> Column:
 def fallback_embedding(text: Column, dim: int = 1024) -> Column:
     """md5's 16 bytes scaled to [-1, 1], zeros up to dim, to unit length; a blank or null text is the zero vector."""
     t = F.coalesce(text, F.lit(""))
-    digest = F.md5(t.cast("binary"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(min(16, dim) - 1)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1)
+    places = F.sequence(F.lit(0), F.lit(min(16, dim) - 1))
+    raw = let(F.md5(t.cast("binary")), lambda digest: F.transform(places, lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1))
     zero = F.array_repeat(F.lit(0.0), dim)
     full = F.concat(normalised(raw), F.array_repeat(F.lit(0.0), max(dim - 16, 0)))
     return F.when(F.trim(t) == "", zero).otherwise(full)

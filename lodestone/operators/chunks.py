@@ -6,7 +6,10 @@ segments; the fold runs in the JVM where it is plain, and Arrow batches of whole
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -71,110 +74,94 @@ def top_level_blocks(lines: list[str]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True) if a < b]
 
 
-def packed(lines: list[str], max_chars: int, coalesce_chars: int) -> list[tuple[int, int]]:
-    """Blocks within max_chars bytes are packed, larger ones cut by blank lines and then by size; small results are then joined until they
-    have more than coalesce_chars non-blank characters."""
-    size = lambda a, b: sum(len(s.encode()) + 1 for s in lines[a:b])
-    out: list[tuple[int, int]] = []
-    start = end = 0
+def runs(sizes: list[int], most: int) -> list[int]:
+    """Where greedy runs begin: a run takes the next size while its sum stays within most."""
+    starts, held = [], 0
+    for i, n in enumerate(sizes):
+        if not starts or held + n > most:
+            starts.append(i)
+            held = 0
+        held += n
+    return starts
 
-    def close(at: int):
-        nonlocal start, end
-        if end > start:
-            out.append((start, end))
-        start = end = at
 
+def packed(lines: list[str], max_chars: int, coalesce_chars: int) -> list[tuple[int, int]]:
+    """Stretches of blocks, and apart from them the lines of each block that is larger than max_chars bytes, are dealt into runs within it.
+    Neighbouring runs are then joined until they hold more than coalesce_chars non-blank characters and more than one line."""
+    octets = list(accumulate((len(s.encode()) + 1 for s in lines), initial=0))
+    solid = list(accumulate((len("".join(s.split())) for s in lines), initial=0))
+    units, stretch = [], 0  # (first line, stretch): only units of one stretch may share a run
     for a, b in top_level_blocks(lines):
-        if size(a, b) > max_chars:
-            close(a)
-            at, held = a, 0
-            for i in range(a, b):
-                n = len(lines[i].encode()) + 1
-                if held and held + n > max_chars:
-                    out.append((at, i))
-                    at, held = i, 0
-                held += n
-            out.append((at, b))
-            start = end = b
-        elif size(start, b) > max_chars:
-            close(a)
-            end = b
-        else:
-            end = b
-    close(len(lines))
-    joined: list[tuple[int, int]] = []
-    at = 0
-    for a, b in out:
-        text = "\n".join(lines[at:b])
-        if sum(not c.isspace() for c in text) > coalesce_chars and "\n" in text:
-            joined.append((at, b))
-            at = b
-    if out and at < out[-1][1]:
-        joined.append((at, out[-1][1]))
-    return joined
+        large = octets[b] - octets[a] > max_chars
+        stretch += large
+        units += [(i, stretch) for i in range(a, b)] if large else [(a, stretch)]
+        stretch += large
+    edges = [*(u for u, _ in units), len(lines)]
+    sizes, begins = [octets[y] - octets[x] for x, y in pairwise(edges)], []
+    for _, group in groupby(range(len(units)), key=lambda k: units[k][1]):
+        own = list(group)
+        begins += [edges[own[i]] for i in runs([sizes[k] for k in own], max_chars)]
+    out, at = [], 0
+    for end in [*begins[1:], len(lines)] if begins else []:
+        if (solid[end] - solid[at] > coalesce_chars and end - at > 1) or end == len(lines):
+            out.append((at, end))
+            at = end
+    return out
 
 
 def tokens(text: str) -> int:
     return len(text) // 4
 
 
-def split_point(lines: list[str], start: int, end: int, most: int) -> int:
-    """The first heading or blank line whose text before it fits; else the longest prefix that fits; else the middle."""
-    fits = lambda at: tokens("\n".join(lines[start:at])) <= most
-    for i in range(start + 1, end):
-        if _heading(lines[i]) and fits(i):
-            return i
-        if not lines[i].strip() and fits(i + 1):
-            return i + 1
-    low, high = start, end
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if fits(middle) else (low, middle - 1)
-    if start < low < end:
-        return low
-    for i in range(start + 1, end):
-        if tokens("\n".join(lines[start:i])) >= 0.9 * most:
-            return i
-    return (start + end) // 2
-
-
 def _heading(s: str) -> bool:
-    head = s[: len(s) - len(s.lstrip("#"))]
-    return 1 <= len(head) <= 6 and s[len(head) :][:1].isspace() and bool(s[len(head) :].strip())
+    return bool(re.match(r"#{1,6}\s+\S", s))
 
 
 def _rule(s: str) -> bool:
-    bare = s.strip()
-    return len(bare) >= 3 and not set(bare) - set("-*_")
+    return bool(re.fullmatch(r"[-*_]{3,}", s.strip()))
+
+
+class Measure:
+    """Tokens of line ranges, from sums of the lines' lengths."""
+
+    def __init__(self, lines: list[str]):
+        self.ends = list(accumulate((len(s) + 1 for s in lines), initial=0))
+
+    def __call__(self, a: int, b: int) -> int:
+        return max(self.ends[b] - self.ends[a] - 1, 0) // 4
+
+    def reach(self, a: int, b: int, most: int) -> int:
+        """The largest end up to b with which a range from a on has `most` tokens at most."""
+        return bisect_right(self.ends, self.ends[a] + 4 * most + 4, a, b + 1) - 1
+
+
+def split_point(lines: list[str], start: int, end: int, most: int) -> int:
+    """Before the first heading, or after the first blank line, if what stands before fits; else after as many lines as fit, one at least."""
+    reach = Measure(lines).reach(start, end, most)
+    natural = next((i if _heading(lines[i]) else i + 1 for i in range(start + 1, end) if _heading(lines[i]) or not lines[i].strip()), end)
+    return natural if natural <= reach else max(reach, start + 1)
 
 
 def markdown_spans(lines: list[str], most: int = MARKDOWN_TOKENS, coalesce: int = MARKDOWN_COALESCE) -> list[tuple[int, int]]:
-    """Segments between headings, rules and fences, joined while small and cut once when too large."""
-    bounds = sorted({0, len(lines), *(i for i, s in enumerate(lines) if _heading(s) or _rule(s) or s.strip().startswith("```"))})
-    out, held = [], None  # held: start, end, tokens
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        n = tokens("\n".join(lines[a:b]))
-        if held is None:
-            held = (a, b, n)
-        elif n < coalesce or held[2] < coalesce:
-            if held[2] + n <= most:
-                held = (held[0], b, held[2] + n)
-                if held[2] >= coalesce:
-                    out.append(held[:2])
-                    held = None
-            else:
-                out.append(held[:2])
-                held = (a, b, n)
+    """Sections between headings, rules and fences. A section above `most` is cut in two once, its first part standing alone. A chunk
+    takes the next section if either is below `coalesce` and both fit, and ends when that brings it to `coalesce`."""
+    size = Measure(lines)
+    bounds = [0, *(i for i, s in enumerate(lines) if i and (_heading(s) or _rule(s) or s.strip().startswith("```"))), len(lines)]
+    out: list[tuple[int, int]] = []
+    held = None  # tokens of the last chunk, summed by section, while it may take another
+    for a, b in pairwise(bounds if lines else []):
+        if b - a > 1 and size(a, b) > most:
+            a, first = split_point(lines, a, b, most), a
+            out.append((first, a))
+            held = None
+        n = size(a, b)
+        if held is not None and min(held, n) < coalesce and held + n <= most:
+            out[-1] = (out[-1][0], b)
+            held = held + n if held + n < coalesce else None
         else:
-            out.append(held[:2])
-            held = (a, b, n)
-        if held is not None and held[2] > most and held[1] - held[0] > 1:
-            at = split_point(lines, held[0], held[1], most)
-            out.append((held[0], at))
-            held = (at, held[1], tokens("\n".join(lines[at : held[1]])))
-    if held is not None:
-        out.append(held[:2])
-    return out or ([(0, len(lines))] if lines else [])
+            out.append((a, b))
+            held = n
+    return out
 
 
 #: Chunkers by name, and the extensions that each takes; others go to `code`, and to `markdown` when that finds nothing.

@@ -10,7 +10,10 @@ from __future__ import annotations
 import bisect
 import json
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 MOST = 200
+BRACKET = re.compile(r"[{}()\[\];]")
 
 
 class Element(NamedTuple):
@@ -136,10 +140,10 @@ class Braced:
     def body(self, at: int) -> tuple[int, int] | None:
         """(open, close) of the block that begins after `at`, before any semicolon outside brackets."""
         depth = 0
-        for i in range(at, min(len(self.masked), at + 4000)):
-            c = self.masked[i]
+        for m in BRACKET.finditer(self.masked, at):
+            c = m.group()
             if c == "{" and depth <= 0:
-                return (i, self.close.get(i, len(self.masked) - 1))
+                return (m.start(), self.close.get(m.start(), len(self.masked) - 1))
             if c in "([":
                 depth += 1
             elif c in ")]":
@@ -298,45 +302,52 @@ def _attributes(s: str) -> str:
     return " ".join(out)
 
 
+def _markup(lines: list[str]) -> Iterator[tuple[int, str]]:
+    """Lines with markup: not blank, not begun by a comment, not inside one that such a line began."""
+    hidden = False
+    for i, s in enumerate(map(str.strip, lines)):
+        if not hidden and s and not s.startswith("<!--"):
+            yield i, s
+        else:
+            hidden = (hidden or s.startswith("<!--")) and "-->" not in s
+
+
+def _tag_pairs(lines: list[str]) -> Iterator[tuple[int, int, str]]:
+    """(line of the opening tag, line of the closing one, tag): each closing tag takes the latest open one of its name; a line's opening tags come first."""
+    open_at = defaultdict(list)
+    for i, s in _markup(lines):
+        opening, closing = (re.findall(f"<{slash}({HTML_TAG}){end}", s) for slash, end in (("", ""), ("/", ">")))
+        for tag in opening:
+            open_at[tag.lower()].append(i)
+        yield from ((open_at[tag].pop(), i, tag) for tag in map(str.lower, closing) if open_at[tag])
+
+
+def _button_label(inner: str) -> str:
+    m = re.search(r"<button[^>]*>(.*?)</button>", inner, re.S | re.I)
+    label = " ".join(m.group(1).split()) if m else ""
+    plain = len(label) <= 50 and "{{" not in label and "{%" not in label
+    return "" if not label else f' "{label}"' if plain else f' "{label[:47]}..."'
+
+
+def _tag_name(tag: str, rows: list[str]) -> tuple[str, str]:
+    """(name, type) of an element whose lines are rows."""
+    opening = rows[0].strip()
+    if tag == "script":
+        m = re.search(r"src\s*=\s*[\"']?([^\"' >]+)[\"']?", opening, re.I)
+        return (f'<script src="{m.group(1)}">' if m else "<script> (inline)"), "script"
+    if tag == "style":
+        return "<style>", "style"
+    shown = " ".join(filter(None, (tag, _attributes(opening))))
+    return f"<{shown}>" + (_button_label(" ".join(map(str.strip, rows))) if tag == "button" else ""), "element"
+
+
 def html(text: str) -> list[Element]:
-    """Tags paired by a stack per name; what isn't closed isn't an element; p and span aren't listed."""
-    lines, out = text.splitlines(), []
-    waiting: dict[str, list[int]] = {}
-    comment = False
-    for i, raw in enumerate(lines):
-        s = raw.strip()
-        if comment:
-            comment = "-->" not in s
-            continue
-        if not s or s.startswith("<!--"):
-            comment = s.startswith("<!--") and "-->" not in s
-            continue
-        for tag in re.findall(f"<({HTML_TAG})", s):
-            waiting.setdefault(tag.lower(), []).append(i)
-        for tag in (t.lower() for t in re.findall(f"</({HTML_TAG})>", s)):
-            if not waiting.get(tag):
-                continue
-            start = waiting[tag].pop()
-            opening = lines[start].strip()
-            if tag == "script":
-                m = re.search(r"src\s*=\s*[\"']?([^\"' >]+)[\"']?", opening, re.I)
-                out.append(Element(start, i, f'<script src="{m.group(1)}">' if m else "<script> (inline)", "def", "script"))
-            elif tag == "style":
-                out.append(Element(start, i, "<style>", "def", "style"))
-            elif tag not in ("p", "span"):
-                attrs = _attributes(opening)
-                name = f"<{tag} {attrs}>" if attrs else f"<{tag}>"
-                if tag == "button":
-                    inner = " ".join(x.strip() for x in lines[start : i + 1])
-                    m = re.search(r"<button[^>]*>(.*?)</button>", inner, re.S | re.I)
-                    label = " ".join(m.group(1).split()) if m else ""
-                    if label:
-                        name += f' "{label}"' if len(label) <= 50 and "{{" not in label and "{%" not in label else f' "{label[:47]}..."'
-                out.append(Element(start, i, name, "def", "element"))
-    for i, s in enumerate(lines):
-        for m in re.finditer(f"<({HTML_TAG})[^>]*?/>", s):
-            attrs = _attributes(m.group())
-            out.append(Element(i, i, f"<{m.group(1).lower()} {attrs}/>" if attrs else f"<{m.group(1).lower()}/>", "def", "element"))
+    """Closed tags, in the order in which they close, then tags that close themselves; p and span aren't listed."""
+    lines = text.splitlines()
+    pairs = ((a, b, *_tag_name(tag, lines[a : b + 1])) for a, b, tag in _tag_pairs(lines) if tag not in ("p", "span"))
+    out = [Element(a, b, name, "def", kind) for a, b, name, kind in pairs]
+    alone = ((i, m) for i, s in enumerate(lines) for m in re.finditer(f"<({HTML_TAG})[^>]*?/>", s))
+    out += [Element(i, i, "<" + " ".join(filter(None, (m.group(1).lower(), _attributes(m.group())))) + "/>", "def", "element") for i, m in alone]
     return capped(out)
 
 
@@ -357,37 +368,76 @@ def css(text: str) -> list[Element]:
     return capped(out)
 
 
-def json_keys(text: str) -> list[Element]:
-    """Objects, arrays, keys and values in document order; lines are found by text, so they're approximate."""
-    data, lines, out = json.loads(text), text.splitlines(), []
+class _JsonLines:
+    """Where the text of a JSON document shows what its values hold: found by text, so approximate, each question answered once."""
 
-    def span(opening: str, closing: str) -> tuple[int, int]:
-        first = next((i for i, s in enumerate(lines) if s.strip().startswith(opening) or s.strip().endswith(opening)), None)
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.block, self.key, self.value = cache(self._block), cache(self._key), cache(self._value)
+
+    def _block(self, opening: str, closing: str) -> tuple[int, int]:
+        """From the first line that begins or ends with the bracket to that where as many have closed."""
+        last = max(len(self.lines) - 1, 0)
+        first = next((i for i, s in enumerate(self.lines) if s.strip().startswith(opening) or s.strip().endswith(opening)), None)
         if first is None:
-            return 0, max(len(lines) - 1, 0)
-        depth = 0
-        for i in range(first, len(lines)):
-            depth += lines[i].count(opening) - lines[i].count(closing)
-            if depth <= 0 and closing in lines[i]:
-                return first, i
-        return first, max(first, len(lines) - 1)
-
-    def visit(v, path: str) -> None:
-        if isinstance(v, dict | list):
-            a, b = span("{", "}") if isinstance(v, dict) else span("[", "]")
-            out.append(Element(a, b, f"{path} {{...}}" if isinstance(v, dict) else f"{path} [...]", "struct", "object" if isinstance(v, dict) else "array"))
-            for k, w in v.items() if isinstance(v, dict) else enumerate(v):
-                if isinstance(v, dict):
-                    at = next((i for i in range(a, b) if json.dumps(k) + ":" in lines[i]), a)
-                    out.append(Element(at, at, f'"{k}" :', "key", "key"))
-                visit(w, f"{path}.{k}" if isinstance(v, dict) else f"{path}[{k}]")
-            return
-        at = next((i for i, s in enumerate(lines) if json.dumps(v) in s and not (s.strip().startswith('"') and ":" in s)), 0)
-        kind = "string" if isinstance(v, str) else "number" if isinstance(v, int | float) else "unknown"  # booleans count as numbers
-        out.append(Element(at, at, repr(short(str(v), 50)), "literal", kind))
-
-    visit(data, "root")
-    return capped(out)
+            return 0, last
+        depth = accumulate(s.count(opening) - s.count(closing) for s in self.lines[first:])
+        return first, next((i for i, d in enumerate(depth, first) if d <= 0 and closing in self.lines[i]), max(first, last))
+
+    def _key(self, k: str) -> int:
+        a, b = self.block("{", "}")
+        return next((i for i in range(a, b) if json.dumps(k) + ":" in self.lines[i]), a)
+
+    def _value(self, shown: str) -> int:
+        return next((i for i, s in enumerate(self.lines) if shown in s and not (s.strip().startswith('"') and ":" in s)), 0)
+
+
+def _json_events(value, path: str) -> Iterator[tuple[str, str, object]]:
+    """(event, path, value) in document order: object, array, key, value. A stack of iterators, so depth isn't limited."""
+    todo = [iter([(path, None, value)])]
+    while todo:
+        for where, key, v in todo[-1]:
+            if key is not None:
+                yield "key", where, key
+            if isinstance(v, dict):
+                yield "object", where, v
+                todo.append(iter([(f"{where}.{k}", k, w) for k, w in v.items()]))
+            elif isinstance(v, list):
+                yield "array", where, v
+                todo.append(iter([(f"{where}[{i}]", None, w) for i, w in enumerate(v)]))
+            else:
+                yield "value", where, v
+                continue
+            break
+        else:
+            todo.pop()
+
+
+def _json_elements(text: str, path: str, shift: int = 0) -> Iterator[Element]:
+    at = _JsonLines(text.splitlines())
+    for event, where, v in _json_events(json.loads(text), path):
+        if event in ("object", "array"):
+            a, b = at.block("{", "}") if event == "object" else at.block("[", "]")
+            name, kind = (f"{where} {{...}}" if event == "object" else f"{where} [...]"), "struct"
+        elif event == "key":
+            a = b = at.key(v)
+            name, kind = f'"{v}" :', "key"
+        else:
+            a = b = at.value(json.dumps(v))
+            name, kind = repr(short(str(v), 50)), "literal"
+            event = "string" if isinstance(v, str) else "number" if isinstance(v, int | float) else "unknown"  # booleans count as numbers
+        yield Element(a + shift, b + shift, name, kind, event)
+
+
+def json_keys(text: str) -> list[Element]:
+    """Objects, arrays, keys and values in document order. Where the text isn't one document but each of its lines is, the lines' own."""
+    try:
+        return capped(list(_json_elements(text, "root")))
+    except json.JSONDecodeError:
+        rows = [(i, s) for i, s in enumerate(text.splitlines()) if s.strip()]
+        if len(rows) < 2:
+            raise
+        return capped([e for n, (i, s) in enumerate(rows) for e in _json_elements(s, f"root[{n}]", i)])
 
 
 def yaml_keys(text: str) -> list[Element]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import fnmatch
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,14 +100,27 @@ def with_context(lines: DataFrame, is_match: Column, around: int = 1) -> DataFra
 
 def enclosing(lines: DataFrame, is_match: Column) -> DataFrame:
     """Each match with the lines that enclose it by indentation: those above with less indentation than every line between."""
-    marked = lines.withColumn("indent", F.length(F.regexp_extract("line", r"^\s*", 0))).withColumn("blank", F.trim("line") == "").withColumn("is_match", is_match)
-    m = marked.where("is_match").select("path", F.col("line_number").alias("at"), F.col("indent").alias("inner"))
-    a = marked.where(~F.col("blank")).select("path", "line_number", "line", "indent")
-    up = a.join(m, "path").where((F.col("line_number") < F.col("at")) & (F.col("indent") < F.col("inner")))
-    below = Window.partitionBy("path", "at").orderBy(F.desc("line_number")).rowsBetween(Window.unboundedPreceding, -1)
-    up = up.withColumn("least", F.min("indent").over(below)).where(F.col("least").isNull() | (F.col("indent") < F.col("least")))
-    found = up.select("path", "line_number", "line", F.lit(False).alias("is_match")).union(marked.where("is_match").select("path", "line_number", "line", F.lit(True)))
-    return found.groupBy("path", "line_number", "line").agg(F.max("is_match").alias("is_match"))
+    kind = lines.schema["path"].dataType.simpleString()
+    marked = lines.select("path", "line_number", "line", F.length(F.regexp_extract("line", r"^\s*", 0)).alias("indent"), (F.trim("line") == "").alias("blank"), is_match.alias("is_match"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_number", kind="stable").reset_index(drop=True)
+        above, open_, shown = [], [], set()  # above: of each line the nearest one above with less indentation; open_: (indent, line), indents growing
+        for i, (n, blank, hit) in enumerate(zip(pdf.indent.tolist(), pdf.blank.tolist(), pdf.is_match.tolist(), strict=True)):
+            while open_ and open_[-1][0] >= n and not blank:
+                open_.pop()
+            at = bisect.bisect_left(open_, (n,))
+            k = open_[at - 1][1] if at else -1
+            above.append(k)
+            if not blank:
+                open_.append((n, i))
+            while hit and k >= 0 and k not in shown:
+                shown.add(k)
+                k = above[k]
+        keep = pdf.is_match | pdf.index.isin(shown)
+        return pdf[keep][["path", "line_number", "line", "is_match"]]
+
+    return marked.groupBy("path").applyInPandas(run, f"path {kind}, line_number int, line string, is_match boolean")
 
 
 def search(files: DataFrame, query: str, extensions: str | None = None, case_sensitive: bool = True, most_files: int = 20, rules: list[str] | None = None, around: int = 1, include: str | None = None, exclude: str | None = None) -> DataFrame:

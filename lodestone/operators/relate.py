@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,19 +73,60 @@ def paired_tags(tags: DataFrame, by: str = "file_id") -> DataFrame:
     return t.withColumn("open_pos", before).where("is_close and depth > 0 and open_pos is not null").select(by, "tag", "open_pos", F.col("pos").alias("close_pos"))
 
 
+def next_at_most(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """For each place, the next one whose value is at most the place's limit, or len(values). One pass with a stack, which limits must
+    let: a place that waits longer must not have a higher limit than those that came after it and still wait."""
+    out, waiting = np.full(len(values), len(values)), []
+    for i, (v, limit) in enumerate(zip(values.tolist(), limits.tolist(), strict=True)):
+        while waiting and v <= waiting[-1][0]:
+            out[waiting.pop()[1]] = i
+        waiting.append((limit, i))
+    return out
+
+
+def _by_file(rows: DataFrame, by: str, columns: list[str], found, schema: str) -> DataFrame:
+    """found(columns of one file's rows in line order, as arrays) gives columns; files are dealt out by their key."""
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        out = found(*(pdf[c].to_numpy() for c in columns))
+        return pd.DataFrame({by: [key[0]] * len(next(iter(out.values()))), **out})
+
+    return rows.groupBy(by).applyInPandas(run, f"`{by}` {kind}, {schema}")
+
+
 def indented_ends(lines: DataFrame, heads: DataFrame, by: str = "path") -> DataFrame:
     """heads (by, pos, indent) with end_pos: the line before the next one that isn't blank and isn't indented further, else the last."""
-    b = lines.where(F.trim("line") != "").select(by, F.col("pos").alias("p2"), F.length(F.regexp_extract("line", r"^\s*", 0)).alias("indent2"))
-    last = lines.groupBy(by).agg(F.max("pos").alias("last_pos"))
-    nxt = heads.join(b, by).where((F.col("p2") > F.col("pos")) & (F.col("indent2") <= F.col("indent"))).groupBy(by, "pos").agg(F.min("p2").alias("next_pos"))
-    return heads.join(nxt, [by, "pos"], "left").join(last, by).withColumn("end_pos", F.coalesce(F.col("next_pos") - 1, "last_pos")).drop("next_pos", "last_pos")
+    blank = F.trim("line") == ""
+    rows = lines.select(by, "pos", F.length(F.regexp_extract("line", r"^\s*", 0)).alias("own"), blank.alias("blank"))
+
+    def found(pos, own, blank):
+        solid = np.flatnonzero(~blank)
+        own = own[solid].astype(np.int64)
+        nxt = next_at_most(own, own)
+        ends = np.append(pos[solid] - 1, pos[-1])[nxt]
+        return {"pos": pos[solid], "end_pos": ends}
+
+    ends = _by_file(rows, by, ["pos", "own", "blank"], found, "pos int, end_pos int")
+    return heads.join(ends, [by, "pos"], "left")
 
 
 def braced_ends(lines: DataFrame, by: str = "path") -> DataFrame:
     """Lines that open a bracket, with the line where the balance comes back: (by, pos, end_pos)."""
-    net = F.length("line") * 2 - F.length(F.translate("line", "{", "")) - F.length("line") + F.length(F.translate("line", "}", "")) - F.length("line")
-    w = Window.partitionBy(by).orderBy("pos")
-    d = lines.withColumn("net", net).withColumn("after", F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("after") - F.col("net"))
-    heads = d.where("net > 0").select(by, "pos", "before")
-    ends = d.select(by, F.col("pos").alias("p2"), F.col("after").alias("after2"))
-    return heads.join(ends, by).where((F.col("p2") > F.col("pos")) & (F.col("after2") <= F.col("before"))).groupBy(by, "pos").agg(F.min("p2").alias("end_pos"))
+    net = F.length(F.translate("line", "}", "")) - F.length(F.translate("line", "{", ""))
+    rows = lines.select(by, "pos", net.alias("net"))
+
+    def found(pos, net):
+        after = np.cumsum(net.astype(np.int64))
+        # only lines that open more than they close wait; a line's limit is the balance before it, which grows among those that wait
+        waiting, heads, ends = [], [], []
+        for i, (n, depth) in enumerate(zip(net.tolist(), after.tolist(), strict=True)):
+            while waiting and depth <= waiting[-1][0]:
+                heads.append(pos[waiting.pop()[1]])
+                ends.append(pos[i])
+            if n > 0:
+                waiting.append((depth - n, i))
+        return {"pos": np.array(heads, np.int32), "end_pos": np.array(ends, np.int32)}
+
+    return _by_file(rows, by, ["pos", "net"], found, "pos int, end_pos int")

@@ -65,7 +65,8 @@ def vector_topk(candidates: DataFrame, embeddings: DataFrame, query: list[float]
     if dim is not None and len(query) != dim:
         raise ValueError(f"query has {len(query)} components, the index has {dim}")
     e = embeddings.where(F.size("embedding") == len(query)).withColumn("distance", V.distance(F.col("embedding"), V.query_vector(query), kind)).where("distance is not null")
-    hits = candidates.join(e.select("block_id", "distance"), "block_id").orderBy("distance", "block_id").limit(k)
+    near = candidates.select("block_id").join(e.select("block_id", "distance"), "block_id").orderBy("distance", "block_id").limit(k)
+    hits = candidates.join(F.broadcast(near.distinct()), "block_id").orderBy("distance", "block_id").limit(k)  # only these k rows bring their texts
     return hits.withColumn("similarity", 1 - F.col("distance"))
 
 

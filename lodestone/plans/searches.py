@@ -144,10 +144,9 @@ def j10_m3_insert_if_absent(spark, d):
     return store.fresh_only(rows.drop("doc_id"), stored, ["source", "content_hash"])
 
 
-@query("j11_used_names", r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(the|ing|with)(?:$|[^\p{L}\p{N}_])', 1))), ', ') AS used FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '(the|ing|with)[^\p{L}\p{N}_](the|ing|with)')""")
+@query("j11_used_names", r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda w: w IN ('the', 'ing', 'with')))), ', ') AS used FROM documents""")
 def j11_used_names(spark, d):
-    docs = table(spark, d, "documents").where(r"lang = 'en' and not rlike(text, '(the|ing|with)[^\\p{L}\\p{N}_](the|ing|with)')")
-    return docs.select("doc_id", relate.used_names(F.col("text"), ["the", "ing", "with"]).alias("used"))
+    return table(spark, d, "documents").select("doc_id", relate.used_names(F.col("text"), ["the", "ing", "with"]).alias("used"))
 
 
 @query("j12_tag_pairs", r"""WITH t0 AS (SELECT page_id, regexp_extract_all(html, '</?[a-zA-Z0-9\-]+') AS ts FROM pages), t AS (SELECT page_id, unnest(ts) AS raw, unnest(range(len(ts)))::INT AS pos FROM t0),

@@ -116,15 +116,39 @@ def s6_markdown_view(spark, d):
     return docs(spark, d).select("doc_id", sources.as_markdown(path, "text").alias("md"))
 
 
-@query("s5_binary", "SELECT doc_id, strlen(text) = 0 AS is_binary FROM documents")
+def raw(spark, d):
+    """Texts as files: in turn with a NUL after the text, with control bytes before a few characters, empty, and plain."""
+    text = F.col("text").cast("binary")
+    odd = F.col("doc_id") % 4
+    content = F.when(odd == 0, F.concat(F.unhex(F.lit("00")), text)).when(odd == 1, F.concat(F.unhex(F.lit("0102030405060708" * 8)), F.substring("text", 1, 8).cast("binary"))).when(odd == 2, F.lit("").cast("binary")).otherwise(text)
+    return docs(spark, d).withColumn("content", content).withColumn("path", F.when(F.col("doc_id") % 8 == 7, "a.png").otherwise("a.txt"))
+
+
+@query("s5_binary", "SELECT doc_id, doc_id % 4 <> 3 OR doc_id % 8 = 7 OR text = '' AS is_binary FROM documents")
 def s5_binary(spark, d):
-    return docs(spark, d).select("doc_id", sources.is_binary(F.lit("a.txt"), F.octet_length("text"), F.col("text").cast("binary")).alias("is_binary"))
+    """A NUL at the begin, mostly control bytes, nothing at all, or the ending of a picture."""
+    return raw(spark, d).select("doc_id", sources.is_binary("path", F.length("content"), "content").alias("is_binary"))
+
+
+def _broken(spark, d):
+    """Texts of every third document begin with the bytes E9 28, which aren't UTF-8."""
+    text = F.col("text").cast("binary")
+    return docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("E928")), F.substring("text", 1, 0).cast("binary"))).otherwise(text).alias("content"))
+
+
+@query("s2_strict", "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN text END AS text, CASE WHEN doc_id % 3 = 0 THEN 'bad' ELSE 'ok' END AS state FROM documents")
+def s2_strict(spark, d):
+    return sources.decoded(_broken(spark, d)).select("doc_id", "text", F.when(F.col("error").isNull(), "ok").otherwise("bad").alias("state"))
 
 
-@query("s2_s4_decoding", "SELECT doc_id, text, 'ok' AS state FROM documents")
-def s2_s4_decoding(spark, d):
-    raw = docs(spark, d).select("doc_id", F.col("text").cast("binary").alias("content"))
-    return sources.decoded(raw).select("doc_id", "text", F.when(F.col("error").isNull(), "ok").otherwise("bad").alias("state"))
+@query("s3_latin1", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN chr(233) || '(' ELSE text END AS text FROM documents")
+def s3_latin1(spark, d):
+    return sources.decoded(_broken(spark, d), "latin1").select("doc_id", "text")
+
+
+@query("s4_replace", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN chr(65533) || '(' ELSE text END AS text FROM documents")
+def s4_replace(spark, d):
+    return sources.decoded(_broken(spark, d), "replace").select("doc_id", "text")
 
 
 # --- chunks
@@ -179,7 +203,9 @@ def w5_indent_ends(spark, d):
     return relate.indented_ends(ls, heads, "doc_id").select("doc_id", "pos", "end_pos")
 
 
-@query("w6_brace_ends")
+@query("w6_brace_ends", r"""WITH b0 AS (SELECT page_id, string_split_regex(regexp_replace(html, '([{}])', '\1' || chr(10), 'g'), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM pages), b1 AS (SELECT page_id, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM b0),
+b2 AS (SELECT page_id, unnest(l) AS line, unnest(range(len(l)))::INT AS pos FROM b1), n AS (SELECT page_id, pos, (length(replace(line, '}', '')) - length(replace(line, '{', ''))) AS net FROM b2),
+d AS (SELECT *, sum(net) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM n) SELECT h.page_id, h.pos, min(e.pos)::INT AS end_pos FROM d h JOIN d e ON e.page_id = h.page_id AND e.pos > h.pos AND e.depth <= h.depth - h.net WHERE h.net > 0 GROUP BY ALL""")
 def w6_brace_ends(spark, d):
     ls = table(spark, d, "pages").select("page_id", F.posexplode(X.lines(F.regexp_replace("html", r"([{}])", "$1\n"))).alias("pos", "line"))
     return relate.braced_ends(ls, "page_id")
@@ -229,6 +255,13 @@ def x7_a8_prepare(spark, d):
     return docs(spark, d).where(F.size(X.lines("text")) > 0).select("doc_id", X.prepare("text").alias("prepared"))
 
 
+@query("a8_min_indent", f"WITH {S.LINES} SELECT doc_id, coalesce(min(CASE WHEN trim(line) <> '' AND pos % 5 > 0 THEN pos % 5 + 1 END), 0)::INT AS least FROM lines GROUP BY 1")
+def a8_min_indent(spark, d):
+    """Lines are indented by their place, and each fifth isn't."""
+    ls = F.transform(X.lines("text"), lambda s, i: F.when(i % 5 > 0, F.concat(F.repeat(F.lit(" "), i % 5 + 1), F.ltrim(s))).otherwise(F.ltrim(s)))
+    return docs(spark, d).where(F.size(X.lines("text")) > 0).withColumn("text", F.array_join(ls, "\n")).select("doc_id", X.min_indent("text").alias("least"))
+
+
 @query("x7_context", "SELECT doc_id, 'Language: ' || lang || chr(10) || 'Type: code' || chr(10) || chr(10) || text AS t FROM documents")
 def x7_context(spark, d):
     return docs(spark, d).select("doc_id", X.with_context(F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.lit("code")).alias("t"))
@@ -260,9 +293,11 @@ def x17_special_flags(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(X.special_flags("html", F.lit("html"))), ",").alias("flags"))
 
 
-@query("x18_structure_points", rf"WITH {S.LINES} SELECT doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS points FROM lines WHERE regexp_matches(line, '{'|'.join(_PY[1])}') GROUP BY 1")
+@query("x18_structure_points", rf"WITH {S.LINES} SELECT doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS points FROM lines WHERE regexp_matches(CASE pos % 4 WHEN 0 THEN 'def f(' || line WHEN 2 THEN 'class C' ELSE line END, '{'|'.join(_PY[1])}') GROUP BY 1")
 def x18_structure_points(spark, d):
-    p = docs(spark, d).select("doc_id", F.array_join(F.transform(X.structure_points("text", F.lit("python")), lambda i: i.cast("string")), ",").alias("points"))
+    """Every fourth line is made a function's head and every other even one a class's."""
+    ls = F.transform(X.lines("text"), lambda s, i: F.when(i % 4 == 0, F.concat(F.lit("def f("), s)).when(i % 4 == 2, "class C").otherwise(s))
+    p = docs(spark, d).withColumn("text", F.array_join(ls, "\n")).select("doc_id", F.array_join(F.transform(X.structure_points("text", F.lit("python")), lambda i: i.cast("string")), ",").alias("points"))
     return p.where("points <> ''")
 
 
@@ -287,9 +322,10 @@ def x22_json(spark, d):
     return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.from_json("props", "k int")["k"].alias("k"))).alias("j"))
 
 
-@query("x23_duration", "SELECT doc_id, CASE WHEN n_chars < 60 THEN format('{:.2f}s', n_chars::DOUBLE) WHEN n_chars < 3600 THEN format('{:.2f}min', n_chars / 60.0::DOUBLE) ELSE format('{:.2f}hr', n_chars / 3600.0::DOUBLE) END AS took FROM documents WHERE n_chars % 9 <> 0")
+@query("x23_duration", """WITH t AS (SELECT doc_id, n_chars, CASE WHEN n_chars < 60 THEN 1 WHEN n_chars < 3600 THEN 60 ELSE 3600 END AS per, CASE WHEN n_chars < 60 THEN 's' WHEN n_chars < 3600 THEN 'min' ELSE 'hr' END AS unit FROM documents),
+u AS (SELECT doc_id, unit, floor(n_chars::DOUBLE * 100 / per + 0.5)::BIGINT AS n FROM t) SELECT doc_id, (n // 100)::VARCHAR || '.' || lpad((n % 100)::VARCHAR, 2, '0') || unit AS took FROM u""")
 def x23_duration(spark, d):
-    return docs(spark, d).where("n_chars % 9 <> 0").select("doc_id", X.duration(F.col("n_chars").cast("double")).alias("took"))  # ninths of an hour round differently in the last place
+    return docs(spark, d).select("doc_id", X.duration(F.col("n_chars").cast("double")).alias("took"))
 
 
 @query("x24_truncate", "SELECT doc_id, CASE WHEN length(text) > 80 THEN text[1:77] || '...' ELSE text END AS name FROM documents")
@@ -332,10 +368,56 @@ def f4_truncate(spark, d):
     return detect.truncated(rows, "doc_id", ["line"], 5).select("doc_id", "nth", "line", "name")
 
 
-@query("a10_first_lines", r"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z0-9\-]+)', 1)) AS tag, generate_subscripts(regexp_extract_all(html, '<([a-zA-Z0-9\-]+)', 1), 1) AS i FROM pages) SELECT page_id, tag, min(i - 1)::INT AS first FROM t GROUP BY ALL")
+@query("a10_first_lines", """WITH t AS (SELECT event_id AS file_id, event_id % 3 AS pad, event_type FROM events)
+SELECT file_id, unnest(['<root>', '<kind>', '<row n="1">', '<row n="2">']) AS name, unnest([0, pad + 1, pad + 2, pad + 2])::INT AS start_line FROM t""")
 def a10_first_lines(spark, d):
-    t = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<([a-zA-Z0-9\-]+)"), F.lit(1))).alias("i", "tag"))
-    return t.groupBy("page_id", "tag").agg(F.min("i").alias("first"))
+    """A tag's line is the first where it stands whole; the root's never does, and repeated tags share theirs."""
+    pad = F.repeat(F.lit("\n"), (F.col("event_id") % 3).cast("int"))
+    text = F.concat(F.lit("<root>\n"), pad, F.lit("<kind>"), F.col("event_type"), F.lit('</kind>\n<row n="1"/>\n<row n="2"/>\n</root>'))
+    files = table(spark, d, "events").select(F.col("event_id").alias("file_id"), F.lit("a.xml").alias("path"), text.alias("text"))
+    return detect.elements(files).select("file_id", "name", "start_line")
+
+
+#: Sources made for each customer: {k} is its key; blank lines, as many as its key modulo 3, follow the line at which the file is cut.
+#: Expected rows are (type, kind, name, first line, last line), lines counted without the blank ones.
+_SOURCES = {
+    "python": (
+        ["import os", "from a.b import c{k}", "", "LIMIT_{k} = 3", "", "class Box{k}(Base):", "    def get{k}(self):", "        return c{k}", "", "def run{k}(x):", "    return os"], 3,
+        [("import", "def", "import os", 0, 0), ("import", "def", "from a.b import c{k}", 1, 1), ("global_variable", "def", "LIMIT_{k}", 3, 3), ("class", "def", "Box{k}", 5, 8), ("class_method", "def", "Box{k}.get{k}", 6, 8), ("function", "def", "run{k}", 9, 10)],
+    ),
+    "java": (
+        ["package com.acme;", "", "import com.acme.util.Tool{k};", "import java.util.List;", "", "public class Box{k} {", "    private int size{k} = 3;", "", "    public int get{k}(int x) {", "        return size{k};", "    }", "}"], 5,
+        [("package", "def", "com.acme", 0, 0), ("import", "def", "com.acme.util.Tool{k}", 2, 2), ("class", "def", "Box{k}", 5, 11), ("field", "def", "Box{k}.size{k}", 6, 6), ("method", "def", "Box{k}.get{k}", 8, 10)],
+    ),
+    "javascript": (
+        ["import {{ a{k} }} from './m{k}';", "", "const K{k} = 3;", "", "function get{k}(x) {{", "  return a{k};", "}}", "", "class Box{k} {{", "  run{k}() {{", "    return 1;", "  }}", "}}"], 4,
+        [("import", "def", "{ a{k} } from './m{k}'", 0, 0), ("variable", "def", "K{k}", 2, 2), ("function", "def", "get{k} (uses: a{k})", 4, 6), ("class", "def", "Box{k}", 8, 12), ("method", "def", "Box{k}.run{k}", 9, 11)],
+    ),
+    "css": (  # a selector begins where what stands before it ends
+        ["/* card {k} */", ".card{k} > a,", ".b {{ color: red; }}", "#id{k} {{}}", "@import 'x{k}';"], 1,
+        [("comment", "comment", "/* card {k} */", 0, 0), ("selector", "def", ".card{k} > a, .b {...}", 0, 2), ("selector", "def", "#id{k} {...}", 2, 3), ("at-rule", "def", "@import ...", 4, 4)],
+    ),
+    "json": (
+        ["{{", '  "name": "n{k}",', '  "size": 1{k}000000,', '  "on": true', "}}"], 1,
+        [("object", "struct", "root {...}", 0, 4), ("key", "key", '"name" :', 1, 1), ("string", "literal", "'n{k}'", 0, 0), ("key", "key", '"size" :', 2, 2), ("number", "literal", "'1{k}000000'", 0, 0), ("key", "key", '"on" :', 3, 3), ("number", "literal", "'True'", 0, 0)],
+    ),
+}
+
+
+def _made(spark, d, name):
+    lines, cut, _ = _SOURCES[name]
+    k = F.col("c_custkey").cast("string")
+    filled = lambda part: F.replace(F.lit("\n".join(part).replace("{{", "{").replace("}}", "}")), F.lit("{k}"), k)
+    text = F.concat(filled([*lines[:cut], ""]), F.repeat(F.lit("\n"), (F.col("c_custkey") % 3).cast("int")), filled(lines[cut:]))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"), F.lit("a").alias("path"), text.alias("text"))
+
+
+def _expected(name: str) -> str:
+    _, cut, rows = _SOURCES[name]
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(t)}, {quoted(kind)}, {quoted(n)}, {a}, {int(a >= cut)}, {b}, {int(b >= cut)})" for t, kind, n, a, b in rows)
+    return f"""WITH r(element_type, kind, name, a, am, b, bm) AS (VALUES {values}), f AS (SELECT c_custkey AS file_id, c_custkey % 3 AS pad FROM customer)
+SELECT file_id, element_type, kind, replace(name, '{{k}}', file_id::VARCHAR) AS name, (a + am * pad)::INT AS start_line, (b + bm * pad)::INT AS end_line FROM f, r"""
 
 
 def _detector(name, make):
@@ -357,8 +439,11 @@ def _events(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("file_id"), F.lit("a").alias("path"), F.col("props").alias("text"))
 
 
+for _no, _lang in (("d1", "python"), ("d2", "java"), ("d3", "javascript"), ("d5", "css"), ("d6", "json")):
+    query(f"{_no}_{_lang}", _expected(_lang))(lambda spark, d, lang=_lang: detect.elements(_made(spark, d, lang), lang).select("file_id", "element_type", "kind", "name", "start_line", "end_line"))
+
 for _name, _lang, _make in (
-    ("d1_python", "python", _docs), ("d2_java", "java", _docs), ("d3_javascript", "javascript", _pages), ("d4_html", "html", _pages), ("d5_css", "css", _pages), ("d6_json", "json", _events),
+    ("d3_javascript_pages", "javascript", _pages), ("d4_html", "html", _pages), ("d5_css_pages", "css", _pages),
     ("d7_yaml", "yaml", _events), ("d8_xml", "xml", _pages), ("d9_properties_rows", "properties", _docs), ("d10_markdown", "markdown", lambda s, d: table(s, d, "pages").select(F.col("page_id").alias("file_id"), F.lit("a").alias("path"), sources.html_as_markdown(F.col("html")).alias("text"))),
 ):
     query(_name)(_detector(_lang, _make))
@@ -384,9 +469,11 @@ def j13_fence_pairs(spark, d):
     return detect.fences(ls, "doc_id")
 
 
-@query("n7_chunk_display", "SELECT doc_id, 'Chunk 1-' || 5 || ' CODE' || CASE WHEN lang = 'en' THEN ' [en]' ELSE '' END || ' ' || source AS shown FROM documents")
+@query("n7_chunk_display", "SELECT doc_id, 'Chunk ' || (doc_id % 50 + 1) || '-' || (doc_id % 50 + n_chars % 9 + 1) || ' ' || CASE doc_id % 3 WHEN 0 THEN 'CODE' WHEN 1 THEN 'MIXED' ELSE 'IMPORTS' END || CASE WHEN lang = 'en' THEN ' [en]' ELSE '' END || ' ' || source AS shown FROM documents")
 def n7_chunk_display(spark, d):
-    shown = present.chunk_line(F.lit(0), F.lit(5), F.lit("code"), F.when(F.col("lang") == "en", F.col("lang")), F.col("source"))
+    kind = F.when(F.col("doc_id") % 3 == 0, "code").when(F.col("doc_id") % 3 == 1, "mixed").otherwise("imports")
+    start = (F.col("doc_id") % 50).cast("int")
+    shown = present.chunk_line(start, start + (F.col("n_chars") % 9).cast("int") + 1, kind, F.when(F.col("lang") == "en", F.col("lang")), F.col("source"))
     return docs(spark, d).select("doc_id", shown.alias("shown"))
 
 
