@@ -264,7 +264,13 @@ def find(docs: DataFrame, model=None, **how) -> DataFrame:
         return ~c["base"] & (log_odds(c["x"], start, trees) >= limit)
 
     kind = lambda c: F.element_at(F.array(*(F.lit(k) for k, _, _ in GENERATORS)), c["g"] + 1)
-    out = out.withColumn("_added", F.transform(F.filter("_candidates", chosen), lambda c: F.struct(kind(c).alias("kind"), *(c[n].alias(n) for n in ("start", "end", "bstart", "bend")))))
+
+    def finest(found: Column) -> Column:
+        """A whole run of numbers gives way to a number or phone chosen inside it."""
+        inside = lambda c: F.exists(found, lambda o: (o["g"] > 1) & (o["start"] < c["end"]) & (o["end"] > c["start"]))
+        return F.filter(found, lambda c: ~((c["g"] == 1) & inside(c)))
+
+    out = out.withColumn("_added", F.transform(let(F.filter("_candidates", chosen), finest), lambda c: F.struct(kind(c).alias("kind"), *(c[n].alias(n) for n in ("start", "end", "bstart", "bend")))))
     of_kind = lambda k: lambda s: s["kind"] == k
     merged = F.concat(*(F.array_sort(F.filter(F.concat("_base", "_added"), of_kind(k))) for k in KINDS))
     return out.withColumn("_spans", F.when(F.size("_added") > 0, merged).otherwise(F.col("_base")))
