@@ -25,8 +25,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-
 #: Fixed by the operator's definition.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -51,93 +49,90 @@ LEFT = 24
 BLOCK = 256
 
 
-def digits(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
-
-
-def luhn(m: Column) -> Column:
-    """The digits of m pass the checksum."""
-    d = F.reverse(digits(m))
-    each = F.transform(F.filter(F.split(d, ""), lambda c: c != ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.when(c.cast("int") * 2 > 9, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)))
-    return F.aggregate(each, F.lit(0), lambda a, v: a + v) % 10 == 0
-
-
-def running(values: Column, combine) -> Column:
-    """array<long>: of each number, what `combine` makes of 0 and all before it; block by block, so that arrays don't grow one by one."""
-    zero = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, v: Column) -> Column:
-        return F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), combine(acc["at"], v.cast("long")).alias("at"))
-
-    def of(v: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, BLOCK))
-        done = F.transform(blocks, lambda x: F.aggregate(x, zero, step))
-        return let(done, lambda d: F.flatten(F.zip_with(d, F.aggregate(F.transform(d, lambda y: y["at"]), zero, step, lambda acc: acc["out"]), lambda y, o: F.transform(y["out"], lambda n: combine(n, o)))))
-
-    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<bigint>")))
-
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def located(text: Column, pattern: str, valid=None, extra=None) -> Column:
-    """array<struct<start,end,bstart,bend>> of the pattern's valid matches. With extra, a function of (match, text to the left, first
-    character after, start, end), its fields come along."""
-    spans = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    spans = F.transform(spans, lambda x: F.struct(x["gap"].alias("gap"), F.coalesce(x["hit"], F.lit("")).alias("hit"), x["hit"].isNotNull().alias("is")))
-    add = lambda a, b: a + b
 
-    def made(rows: Column) -> Column:
-        chars = running(F.transform(rows, lambda x: F.length(x["gap"]) + F.length(x["hit"])), add)
-        octets = running(F.transform(rows, lambda x: F.octet_length(x["gap"]) + F.octet_length(x["hit"])), add)
-        after = F.transform(F.slice(rows, F.lit(2), F.size(rows)), lambda x: F.substring(x["gap"], 1, 1))
-        both = F.arrays_zip(rows.alias("x"), chars.alias("c"), octets.alias("o"), after.alias("after"))
-        kept = F.filter(both, lambda r: r["x"]["is"] & (valid(r["x"]["hit"]) if valid else F.lit(True)))
+def let(value: str, name: str, body: str) -> str:
+    """body with the value under a name, computed once however often the body names it."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-        def span(r: Column) -> Column:
-            start, bstart = r["c"] + F.length(r["x"]["gap"]), r["o"] + F.octet_length(r["x"]["gap"])
-            end, bend = start + F.length(r["x"]["hit"]), bstart + F.octet_length(r["x"]["hit"])
-            fields = [c.cast("int").alias(n) for n, c in (("start", start), ("end", end), ("bstart", bstart), ("bend", bend))]
-            more = extra(r["x"]["hit"], F.substring(r["x"]["gap"], -LEFT, LEFT), F.coalesce(r["after"], F.lit("")), start, end) if extra else []
-            return F.struct(*fields, *more)
 
-        return F.transform(kept, span)
+def digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
 
-    return let(spans, made)
 
-
-def nothing() -> Column:
-    return F.array().cast("array<struct<start:int,end:int,bstart:int,bend:int>>")
+def luhn(m: str) -> str:
+    """The digits of m pass the checksum."""
+    each = f"transform(filter(split(reverse({digits(m)}), ''), u -> u <> ''), (u, i) -> if(i % 2 = 0, int(u), if(int(u) * 2 > 9, int(u) * 2 - 9, int(u) * 2)))"
+    return f"aggregate({each}, 0, (a, u) -> a + u) % 10 = 0"
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def running(values: str, combine) -> str:
+    """array<long>: of each number, what `combine` makes of 0 and all before it; block by block, so that arrays don't grow one by one."""
+    none = "cast(array() as array<bigint>)"
+    zero = f"named_struct('out', {none}, 'at', 0L)"
+    step = f"(a, n) -> named_struct('out', concat(a.out, array(a.at)), 'at', {combine('a.at', 'bigint(n)')})"
+    blocks = f"transform(sequence(0, int(floor((size(v) - 1) / {BLOCK}))), i -> slice(v, i * {BLOCK} + 1, {BLOCK}))"
+    done = f"transform({blocks}, b -> aggregate(b, {zero}, {step}))"
+    offsets = f"aggregate(transform(d, y -> y.at), {zero}, {step}, a -> a.out)"
+    whole = f"flatten(zip_with(d, {offsets}, (y, o) -> transform(y.out, n -> {combine('n', 'o')})))"
+    return let(values, "v", f"if(size(v) > 0, {let(done, 'd', whole)}, {none})")
+
+
+def located(text: str, pattern: str, valid=None, extra=None) -> str:
+    """array<struct<start,end,bstart,bend>> of the pattern's valid matches. With extra, a function of the names of (match, text to the left,
+    first character after, start, end) that gives the arguments of more fields, these come along."""
+    add = lambda a, b: f"{a} + {b}"
+    gaps, hits = f"split({text}, {quoted(pattern)}, -1)", f"regexp_extract_all({text}, {quoted(pattern)}, 0)"
+    spans = f"zip_with({gaps}, {hits}, (gap, hit) -> named_struct('gap', gap, 'hit', coalesce(hit, ''), 'is', hit is not null))"
+    chars = running("transform(rows, x -> length(x.gap) + length(x.hit))", add)
+    octets = running("transform(rows, x -> octet_length(x.gap) + octet_length(x.hit))", add)
+    after = "transform(slice(rows, 2, size(rows)), x -> substring(x.gap, 1, 1))"
+    places = f"zip_with({chars}, {octets}, (c, o) -> named_struct('c', c, 'o', o))"
+    around = f"zip_with(rows, {after}, (x, after) -> named_struct('x', x, 'after', after))"
+    both = f"zip_with({around}, {places}, (l, p) -> named_struct('x', l.x, 'after', l.after, 'c', p.c, 'o', p.o))"
+    kept = f"filter({both}, r -> r.x.is" + (f" and {valid('r.x.hit')})" if valid else ")")
+    start, bstart = "int(r.c + length(r.x.gap))", "int(r.o + octet_length(r.x.gap))"
+    end, bend = "int(r.c + length(r.x.gap) + length(r.x.hit))", "int(r.o + octet_length(r.x.gap) + octet_length(r.x.hit))"
+    made = f"named_struct('start', {start}, 'end', {end}, 'bstart', {bstart}, 'bend', {bend}"
+    if extra:
+        made += ", " + extra("r.x.hit", f"substring(r.x.gap, -{LEFT}, {LEFT})", "coalesce(r.after, '')", start, end)
+    return let(spans, "rows", f"transform({kept}, r -> {made}))")
+
+
+def base_spans(text: str) -> dict[str, str]:
     """By kind, the spans that the fixed formats give."""
-    n = lambda m: F.length(digits(m))
+    none = "cast(array() as array<struct<start:int,end:int,bstart:int,bend:int>>)"
+    part = quoted(rf"^{PART}\.{PART}\.{PART}\.{PART}\z")
     return {
-        "email": F.when(F.contains(text, F.lit("@")), located(text, EMAIL)).otherwise(nothing()),
-        "ip": F.when(text.rlike(r"[0-9]\.[0-9]"), located(text, IP, lambda m: m.rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}\z"))).otherwise(nothing()),
-        "card": F.when(text.rlike(CARD), located(text, CARD, luhn)).otherwise(nothing()),
-        "phone": F.when(F.contains(text, F.lit("+")), located(text, PHONE, lambda m: n(m).between(9, 15))).otherwise(nothing()),
+        "email": f"if(contains({text}, '@'), {located(text, EMAIL)}, {none})",
+        "ip": f"if({text} rlike {quoted('[0-9]' + chr(92) + '.[0-9]')}, {located(text, IP, lambda m: f'{m} rlike {part}')}, {none})",
+        "card": f"if({text} rlike {quoted(CARD)}, {located(text, CARD, luhn)}, {none})",
+        "phone": f"if(contains({text}, '+'), {located(text, PHONE, lambda m: f'length({digits(m)}) between 9 and 15')}, {none})",
     }
 
 
-def named(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["bstart"].alias("bstart"), s["bend"].alias("bend")))
+def named(kind: str, spans: str) -> str:
+    return f"transform({spans}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.`end`, 'bstart', s.bstart, 'bend', s.bend))"
 
 
 def with_base(docs: DataFrame) -> DataFrame:
     """Adds _text (never null), one array column _kind for each base kind, and _base, all of them."""
     docs = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumns({f"_{k}": c for k, c in base_spans(F.col("_text")).items()}).withColumn("_base", F.concat(*(named(k, F.col(f"_{k}")) for k in KINDS[:4])))
+    docs = docs.withColumns({f"_{k}": F.expr(e) for k, e in base_spans("_text").items()})
+    return docs.withColumn("_base", F.expr(f"concat({', '.join(named(k, f'_{k}') for k in KINDS[:4])})"))
 
 
-def features(m: Column, left: Column, after: Column, generator: int) -> list[Column]:
+def features(m: str, left: str, after: str, generator: int) -> list[str]:
     """Integers that describe the candidate's format and what stands around it."""
-    flag = lambda c: c.cast("int")
-    count = lambda p: F.length(m) - F.length(F.regexp_replace(m, p, ""))
-    quad = m.rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}\z")
+    like = lambda c, p: f"int({c} rlike {quoted(p)})"
+    count = lambda p: f"(length({m}) - length(regexp_replace({m}, {quoted(p)}, '')))"
     return [
-        F.lit(generator), F.length(m), count("[0-9]"), count(r"\p{L}"), count(r"[ /()-]"), count(r"\."), flag(m.rlike(r"^\+[0-9]")),
-        flag(count("[0-9]").between(13, 19) & luhn(m)), flag(quad), flag(m.rlike(r"^[^@]+@[^@]+\.[^@.]+\z")), flag(left.rlike(CUE)),
-        flag(left.rlike(r"[\p{L}0-9._-]\z")), flag(after.rlike(r"[\p{L}0-9]")), F.coalesce(F.array_max(F.transform(F.split(m, "[^0-9]+"), lambda x: F.length(x))), F.lit(0)), flag(m.rlike(r"^\+?[0-9]? ?\([0-9]{3}\)")),
-        flag(m.rlike(r"^[0-9a-f]+\z")), flag(m.rlike("[a-z]") & m.rlike("[A-Z]")), flag(left.rlike(r"[\"'=:]\z")),
+        f"{generator}", f"length({m})", count("[0-9]"), count(r"\p{L}"), count(r"[ /()-]"), count(r"\."), like(m, r"^\+[0-9]"),
+        f"int({count('[0-9]')} between 13 and 19 and {luhn(m)})", like(m, rf"^{PART}\.{PART}\.{PART}\.{PART}\z"), like(m, r"^[^@]+@[^@]+\.[^@.]+\z"), like(left, CUE),
+        like(left, r"[\p{L}0-9._-]\z"), like(after, r"[\p{L}0-9]"), f"coalesce(array_max(transform(split({m}, '[^0-9]+'), u -> length(u))), 0)", like(m, r"^\+?[0-9]? ?\([0-9]{3}\)"),
+        like(m, r"^[0-9a-f]+\z"), f"int({m} rlike '[a-z]' and {m} rlike '[A-Z]')", like(left, r"[\"'=:]\z"),
     ]
 
 
@@ -146,19 +141,18 @@ N_FEATURES = 18
 
 def with_candidates(docs: DataFrame) -> DataFrame:
     """Adds _candidates: places, features x, base (whether a base span overlaps) and good (what training takes it for)."""
-    text = F.col("_text")
 
     def described(g: int):
-        def fields(m: Column, left: Column, after: Column, start: Column, end: Column) -> list[Column]:
-            base = F.exists(F.col("_base"), lambda b: (b["start"] < end) & (b["end"] > start))
-            good = left.rlike(SECRET_CUE) if g == SECRET else base
-            return [F.lit(g).alias("g"), F.array(*features(m, left, after, g)).alias("x"), base.alias("base"), good.alias("good")]
+        def fields(m: str, left: str, after: str, start: str, end: str) -> str:
+            base = f"exists(_base, b -> b.start < {end} and b.`end` > {start})"
+            good = f"{left} rlike {quoted(SECRET_CUE)}" if g == SECRET else base
+            return f"'g', {g}, 'x', array({', '.join(features(m, left, after, g))}), 'base', {base}, 'good', {good}"
 
         return fields
 
     kind = "array<struct<start:int,end:int,bstart:int,bend:int,g:int,x:array<int>,base:boolean,good:boolean>>"
-    each = [F.when(text.rlike(first), located(text, pattern, extra=described(g)).cast(kind)).otherwise(F.array().cast(kind)) for g, (_, pattern, first) in enumerate(GENERATORS)]
-    return docs.withColumn("_candidates", F.concat(*each))
+    each = [f"if(_text rlike {quoted(first)}, cast({located('_text', pattern, extra=described(g))} as {kind}), cast(array() as {kind}))" for g, (_, pattern, first) in enumerate(GENERATORS)]
+    return docs.withColumn("_candidates", F.expr(f"concat({', '.join(each)})"))
 
 
 # --- boosted trees -------------------------------------------------------------------------------------------------------------
@@ -206,10 +200,10 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: f
     return start, out
 
 
-def as_column(tree, x: Column) -> Column:
+def as_sql(tree, x: str) -> str:
     if isinstance(tree, float):
-        return F.lit(tree)
-    return F.when(x[tree[0]] < tree[1], as_column(tree[2], x)).otherwise(as_column(tree[3], x))
+        return f"{tree!r}D"
+    return f"if({x}[{tree[0]}] < {tree[1]!r}D, {as_sql(tree[2], x)}, {as_sql(tree[3], x)})"
 
 
 def fit(docs: DataFrame, max_docs: int = 20_000, max_candidates: int = 8_000, precision: float = 0.98) -> tuple[float, list, list[float]]:
@@ -217,7 +211,7 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_candidates: int = 8_000, pr
     each generator. Half of the documents train the trees, the others set the thresholds."""
     n = docs.count()
     part = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(n / max_docs)))) == 0)
-    found = with_candidates(with_base(part)).select(F.xxhash64("doc_id", "text").alias("h"), F.explode("_candidates").alias("c"))
+    found = with_candidates(with_base(part)).select(F.xxhash64("doc_id", "text").alias("h"), F.explode_outer("_candidates").alias("c")).where("c is not null")
     found = found.select("h", "c.g", "c.x", "c.good", F.row_number().over(Window.partitionBy("c.g").orderBy(F.xxhash64("h", "c.start"), "h", "c.start")).alias("nth")).where(F.col("nth") <= max_candidates)
     rows = sorted(found.select("h", "x", "good").collect())
     if not rows:
@@ -243,8 +237,12 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_candidates: int = 8_000, pr
     return start, trees, limits
 
 
+def odds_sql(x: str, start: float, trees: list) -> str:
+    return " + ".join([f"{float(start)!r}D", *(as_sql(t, x) for t in trees)])
+
+
 def log_odds(x: Column, start: float, trees: list) -> Column:
-    return sum((as_column(t, x) for t in trees), F.lit(start))
+    return F.call_function("transform", F.array(x), F.expr(f"x -> {odds_sql('x', start, trees)}"))[0]
 
 
 def find(docs: DataFrame, model=None, **how) -> DataFrame:
@@ -254,25 +252,13 @@ def find(docs: DataFrame, model=None, **how) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,start:int,end:int,bstart:int,bend:int>>")
     if not trees or all(math.isinf(t) for t in limits):
         return out.withColumn("_added", none).withColumn("_spans", F.col("_base"))
-    out = with_candidates(out)
-
-    def chosen(c: Column) -> Column:
-        limit = F.lit(math.inf)
-        for g, t in enumerate(limits):
-            if not math.isinf(t):
-                limit = F.when(c["g"] == g, F.lit(t)).otherwise(limit)
-        return ~c["base"] & (log_odds(c["x"], start, trees) >= limit)
-
-    kind = lambda c: F.element_at(F.array(*(F.lit(k) for k, _, _ in GENERATORS)), c["g"] + 1)
-
-    def finest(found: Column) -> Column:
-        """A whole run of numbers gives way to a number or phone chosen inside it."""
-        inside = lambda c: F.exists(found, lambda o: (o["g"] > 1) & (o["start"] < c["end"]) & (o["end"] > c["start"]))
-        return F.filter(found, lambda c: ~((c["g"] == 1) & inside(c)))
-
-    out = out.withColumn("_added", F.transform(let(F.filter("_candidates", chosen), finest), lambda c: F.struct(kind(c).alias("kind"), *(c[n].alias(n) for n in ("start", "end", "bstart", "bend")))))
-    of_kind = lambda k: lambda s: s["kind"] == k
-    merged = F.concat(*(F.array_sort(F.filter(F.concat("_base", "_added"), of_kind(k))) for k in KINDS))
+    least = " ".join(f"when {g} then {t!r}D" for g, t in enumerate(limits) if not math.isinf(t))
+    chosen = f"filter(_candidates, c -> not c.base and {odds_sql('c.x', start, trees)} >= case c.g {least} else double('infinity') end)"
+    finest = "filter(found, c -> not (c.g = 1 and exists(found, o -> o.g > 1 and o.start < c.`end` and o.`end` > c.start)))"  # a whole run of numbers gives way to a number or phone chosen inside it
+    kind = f"element_at(array({', '.join(quoted(k) for k, _, _ in GENERATORS)}), c.g + 1)"
+    span = f"named_struct('kind', {kind}, 'start', c.start, 'end', c.`end`, 'bstart', c.bstart, 'bend', c.bend)"
+    out = with_candidates(out).withColumn("_added", F.expr(f"transform({let(chosen, 'found', finest)}, c -> {span})"))
+    merged = F.expr("concat(" + ", ".join(f"array_sort(filter(concat(_base, _added), s -> s.kind = '{k}'))" for k in KINDS) + ")")
     return out.withColumn("_spans", F.when(F.size("_added") > 0, merged).otherwise(F.col("_base")))
 
 
@@ -283,17 +269,13 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, model=None, **how) -> DataFrame:
     """docs with each span, or run of overlapping spans, of text replaced by its first kind in brackets; n_chars follows."""
     found = find(docs, model, **how)
-    by_place = F.array_sort("_spans", lambda a, b: F.when(a["bstart"] != b["bstart"], a["bstart"] - b["bstart"]).otherwise(b["bend"] - a["bend"]))
-    raw = F.col("_text").cast("binary")
-
-    def rewritten(spans: Column) -> Column:
-        reached = running(F.transform(spans, lambda s: s["bend"]), lambda a, b: F.greatest(a, b))  # where the spans before end
-        both = F.filter(F.arrays_zip(spans.alias("s"), reached.alias("to")), lambda r: r["s"]["bstart"] >= r["to"])
-        pieces = F.transform(both, lambda r: F.concat(F.substring(raw, (r["to"] + 1).cast("int"), (r["s"]["bstart"] - r["to"]).cast("int")).cast("string"), F.lit("["), F.upper(r["s"]["kind"]), F.lit("]")))
-        rest = F.substring(raw, F.array_max(F.transform(spans, lambda s: s["bend"])) + 1, F.octet_length("_text")).cast("string")
-        return F.concat(F.array_join(pieces, ""), rest)
-
-    whole = let(by_place, rewritten)
+    by_place = "array_sort(_spans, (a, b) -> if(a.bstart <> b.bstart, a.bstart - b.bstart, b.bend - a.bend))"
+    raw = "cast(_text as binary)"
+    reached = running("transform(spans, s -> s.bend)", lambda a, b: f"greatest({a}, {b})")  # where the spans before end
+    kept = f"filter(zip_with(spans, {reached}, (s, n) -> named_struct('s', s, 'to', n)), r -> r.s.bstart >= r.to)"
+    pieces = f"transform({kept}, r -> concat(string(substring({raw}, int(r.to + 1), int(r.s.bstart - r.to))), '[', upper(r.s.kind), ']'))"
+    rest = f"string(substring({raw}, array_max(transform(spans, s -> s.bend)) + 1, octet_length(_text)))"
+    whole = F.expr(let(by_place, "spans", f"concat(array_join({pieces}, ''), {rest})"))
     text = F.when(F.size("_spans") > 0, whole).otherwise(F.col("text"))
     columns = []
     for f in docs.schema:
