@@ -3,9 +3,9 @@
 Base spans come from four patterns, leftmost and non-overlapping, each match then kept or dropped whole. Generators of high
 recall propose more, which may overlap: anything around an @, any run of digits with separators, single numbers and phone
 numbers inside such runs (which the patterns lose where two stand side by side), and long runs of letters with digits. Boosted trees over the
-candidates' format and context score them. They are trained from a bounded sample of documents: a candidate that overlaps a base
-span counts as good, and a long run does if a word for a secret stands before it, which its features don't show. On other documents of
-the sample each generator gets its own threshold: midway between the least score that reached a set precision and the next one, or
+candidates' format and context score them. They are trained from all candidates of half of the documents: a candidate that overlaps a base
+span counts as good, and a long run does if a word for a secret stands before it, which its features don't show. On the other half
+each generator gets its own threshold: midway between the least score that reached a set precision and the next one, or
 even odds; without enough good ones it adds nothing. Chosen candidates that overlap no base span are added.
 
 A column of spans is an array of struct(kind, start, end, bstart, bend): code points, end exclusive, and the same in UTF-8 bytes, ordered by
@@ -20,9 +20,10 @@ running sums over the gaps and matches in blocks, and texts are cut by bytes, so
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed by the operator's definition.
@@ -142,7 +143,7 @@ N_FEATURES = 18
 def with_candidates(docs: DataFrame) -> DataFrame:
     """Adds _candidates: places, features x, base (whether a base span overlaps) and good (what training takes it for)."""
 
-    def described(g: int):
+    def fields_of(g: int):
         def fields(m: str, left: str, after: str, start: str, end: str) -> str:
             base = f"exists(_base, b -> b.start < {end} and b.`end` > {start})"
             good = f"{left} rlike {quoted(SECRET_CUE)}" if g == SECRET else base
@@ -151,17 +152,18 @@ def with_candidates(docs: DataFrame) -> DataFrame:
         return fields
 
     kind = "array<struct<start:int,end:int,bstart:int,bend:int,g:int,x:array<int>,base:boolean,good:boolean>>"
-    each = [f"if(_text rlike {quoted(first)}, cast({located('_text', pattern, extra=described(g))} as {kind}), cast(array() as {kind}))" for g, (_, pattern, first) in enumerate(GENERATORS)]
+    each = [f"if(_text rlike {quoted(first)}, cast({located('_text', pattern, extra=fields_of(g))} as {kind}), cast(array() as {kind}))" for g, (_, pattern, first) in enumerate(GENERATORS)]
     return docs.withColumn("_candidates", F.expr(f"concat({', '.join(each)})"))
 
 
 # --- boosted trees -------------------------------------------------------------------------------------------------------------
 
 
-def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
-    """A regression tree on gradients: (feature, limit, below, above), x[feature] < limit going below, or a leaf's value."""
+def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, depth: int, rate: float):
+    """A regression tree on gradients of rows that stand for n candidates each: (feature, limit, below, above), x[feature] < limit going
+    below, or a leaf's value."""
     value = -rate * g.sum() / (h.sum() + 1.0)
-    if depth == 0 or len(g) < 20:
+    if depth == 0 or n.sum() < 20:
         return float(value)
     best, where = 1e-3, None
     total = g.sum() ** 2 / (h.sum() + 1.0)
@@ -174,11 +176,11 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
             gain = gl**2 / (hl + 1.0) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1.0) - total
             i = int(np.argmax(gain))
             if gain[i] > best:
-                best, where = float(gain[i]), (f, float(v[cut[i]] + v[cut[i] + 1]) / 2)
+                best, where = float(gain[i]), (f, (float(v[cut[i]]) + float(v[cut[i] + 1])) / 2)
     if where is None:
         return float(value)
     low = x[:, where[0]] < where[1]
-    return (*where, grow(x[low], g[low], h[low], depth - 1, rate), grow(x[~low], g[~low], h[~low], depth - 1, rate))
+    return (*where, grow(x[low], g[low], h[low], n[low], depth - 1, rate), grow(x[~low], g[~low], h[~low], n[~low], depth - 1, rate))
 
 
 def at(tree, x: np.ndarray) -> np.ndarray:
@@ -190,12 +192,14 @@ def at(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: float = 0.3) -> tuple[float, list]:
-    start = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: float = 0.3, n: np.ndarray | None = None) -> tuple[float, list]:
+    """(start, trees) from rows x, each standing for n candidates (one, if not given), of which y are good."""
+    n = np.ones(len(y)) if n is None else n
+    start = math.log((y.sum() + 1) / (n.sum() - y.sum() + 1))
     z, out = np.full(len(y), start), []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
-        out.append(grow(x, p - y, p * (1 - p), depth, rate))
+        out.append(grow(x, n * p - y, n * p * (1 - p), n, depth, rate))
         z = z + at(out[-1], x)
     return start, out
 
@@ -206,31 +210,40 @@ def as_sql(tree, x: str) -> str:
     return f"if({x}[{tree[0]}] < {tree[1]!r}D, {as_sql(tree[2], x)}, {as_sql(tree[3], x)})"
 
 
-def fit(docs: DataFrame, max_docs: int = 20_000, max_candidates: int = 8_000, precision: float = 0.98) -> tuple[float, list, list[float]]:
-    """(start, trees, thresholds by generator as log-odds), from the candidates of about max_docs documents, at most max_candidates of
-    each generator. Half of the documents train the trees, the others set the thresholds."""
-    n = docs.count()
-    part = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, math.ceil(n / max_docs)))) == 0)
-    found = with_candidates(with_base(part)).select(F.xxhash64("doc_id", "text").alias("h"), F.explode_outer("_candidates").alias("c")).where("c is not null")
-    found = found.select("h", "c.g", "c.x", "c.good", F.row_number().over(Window.partitionBy("c.g").orderBy(F.xxhash64("h", "c.start"), "h", "c.start")).alias("nth")).where(F.col("nth") <= max_candidates)
-    rows = sorted(found.select("h", "x", "good").collect())
-    if not rows:
+def described(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct descriptions of the candidates of all documents, in order, and for each the numbers of (all, good) ones in the documents
+    that train, then in the others: a document's half is a bit of its hash."""
+    half = F.shiftright(F.xxhash64("doc_id", "text"), 20).bitwiseAND(F.lit(1))
+    found = with_candidates(with_base(docs.select("doc_id", "text"))).select(half.alias("half"), F.explode_outer("_candidates").alias("c")).where("c is not null")
+    counts = [F.count(F.when((F.col("half") == i) & good, 1)) for i in (0, 1) for good in (F.lit(True), F.col("c.good"))]
+    x, n = array("i"), array("q")
+    for xs, *own in found.groupBy("c.x").agg(*counts).toLocalIterator():
+        x.extend(xs)
+        n.extend(own)
+    rows, counted = np.array(x, np.int32).reshape(-1, N_FEATURES), np.array(n, np.int64).reshape(-1, 4)
+    order = np.lexsort(rows.T[::-1])
+    return rows[order], counted[order]
+
+
+def fit(docs: DataFrame, precision: float = 0.98) -> tuple[float, list, list[float]]:
+    """(start, trees, thresholds by generator as log-odds), from all candidates of all documents. Half of the documents train the trees,
+    the others set the thresholds. Equal descriptions are counted together by the tasks; the driver holds the distinct ones only."""
+    x, counted = described(docs)
+    learn, others = counted[:, 0] > 0, counted[:, 2] > 0
+    if not learn.any() or not others.any():
         return 0.0, [], [math.inf] * len(GENERATORS)
-    x, y = np.array([r.x for r in rows], float), np.array([r.good for r in rows], float)
-    learn = np.array([(r.h >> 20) % 2 == 0 for r in rows])
-    if not learn.any() or learn.all():
-        return 0.0, [], [math.inf] * len(GENERATORS)
-    start, trees = boost(x[learn], y[learn])
-    z = start + sum(at(t, x[~learn]) for t in trees)
+    start, trees = boost(x[learn], counted[learn, 1].astype(float), n=counted[learn, 0].astype(float))
+    x, every, right = x[others], counted[others, 2], counted[others, 3]
+    z = start + sum(at(t, x) for t in trees)
     limits = []
     for g in range(len(GENERATORS)):
-        own = x[~learn][:, 0] == g
+        own = x[:, 0] == g
         if not own.any():
             limits.append(math.inf)
             continue
         order = np.argsort(-z[own], kind="stable")
-        zs, good = z[own][order], np.cumsum(y[~learn][own][order])
-        exact = good / np.arange(1, len(zs) + 1)
+        zs, good = z[own][order], np.cumsum(right[own][order])
+        exact = good / np.cumsum(every[own][order])
         fine = [i for i in range(len(zs)) if exact[i] >= precision and (i + 1 == len(zs) or zs[i + 1] < zs[i]) and zs[i] > 0]
         below = zs[fine[-1] + 1] if fine and fine[-1] + 1 < len(zs) else 0.0
         limits.append(float((zs[fine[-1]] + max(below, 0.0)) / 2) if fine and good[-1] >= 20 else math.inf)

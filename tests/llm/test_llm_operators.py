@@ -198,6 +198,16 @@ def test_running_and_redaction_of_many_spans(spark):
     assert out == {0: "ü [EMAIL], " * 3000, 1: "no", 2: "[PHONE] [EMAIL]"}
 
 
+def test_all_candidates_of_all_documents_are_learnt_from(spark):
+    n = 30_000  # more documents, and more candidates of a generator, than a sample held before
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to u"), F.col("id").cast("string"), F.lit("@host.org now")).alias("text"))
+    d = d.union(spark.createDataFrame([(n + i, f"write to ann{i}@home now") for i in range(40)], "doc_id long, text string"))
+    _, counted = pii.described(d)
+    assert counted[:, [0, 2]].sum() == n + 40 and counted[:, [1, 3]].sum() == n
+    _, again = pii.described(d.union(d).repartition(7))
+    assert (again == 2 * counted).all()
+
+
 def test_no_documents_no_spans(spark):
     assert pii.find(docs(spark, [])).count() == 0
 

@@ -205,6 +205,17 @@ def by_dictionaries(url, good, bad):
     return total / len(url)
 
 
+def test_trees_of_counted_rows_are_those_of_single_rows():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (800, 3))
+    y = ((x[:, 0] > 1) ^ (rng.random(800) < 0.2)).astype(float)
+    rows, which = np.unique(x, axis=0, return_inverse=True)
+    each = lambda w: np.bincount(which.ravel(), w, len(rows))
+    (one, single), (two, counted) = pii.boost(x, y), pii.boost(rows, each(y), n=each(np.ones(800)))
+    assert one == two
+    assert sum(pii.at(t, rows) for t in single) == pytest.approx(sum(pii.at(t, rows) for t in counted))
+
+
 def test_trees_learn_and_equal_their_numbers():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 10, (600, 4)).astype(float)
