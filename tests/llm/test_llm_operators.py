@@ -404,6 +404,49 @@ def test_copies_that_meet_are_those_of_all_pairs(spark):
     assert all(of[i] == i for i in range(400) if i % 8 > 2)
 
 
+def test_all_copies_of_a_large_group_are_linked(spark):
+    """Crops and edits of one picture, whose corners share keys far beyond KEY, among strangers: links are those of brute force."""
+    import pyarrow as pa
+
+    def variant(k):
+        a = media.picture(8, 96).copy()
+        if k % 3 == 1:
+            a = a[2 * (k % 7) : 2 * (k % 7) + 64, 2 * (k % 11) : 2 * (k % 11) + 64]
+        elif k % 3 == 2:
+            a = np.clip(a * 0.8 + k % 13, 0, 255)
+            a[k % 50 : k % 50 + 24, (7 * k) % 60 : (7 * k) % 60 + 30] = 250
+        else:
+            a = np.clip(a + k % 17 - 8, 0, 255)
+        return np.rint(a)
+
+    rows = [(i, media.write_pgm(variant(i // 2) if i % 2 else media.picture(8 * i + 3))) for i in range(90)]
+    seen = media.corners(spark.createDataFrame(rows, "id long, media binary")).dropDuplicates(["digest"]).toPandas()
+    kind = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.int64()) for n, t in media.CORNER]))
+    each = media.fields(pa.array([[r.asDict() for r in c] for c in seen.corners], kind))
+    good = lambda p, q, n: n >= media.AGREE and n >= media.AGREE_SHARE * min(len(p["y"]), len(q["y"]))
+    alike = [(i, j) for i in range(len(seen)) for j in range(len(seen)) if seen.id[i] < seen.id[j] and good(each[i], each[j], media.consensus(each[i], each[j]))]
+    want = collections.Counter(seen.digest[k] for pair in alike for k in pair)
+    out = {r.id: r for r in media.copies(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    assert len(alike) > 500
+    assert {d: out[i].n_links for i, d in zip(seen.id, seen.digest, strict=True)} == {d: want[d] for d in seen.digest}
+    assert {out[i].component_id for i in range(1, 90, 2)} == {1}
+
+
+def test_images_of_a_key_meet_however_many_they_are(spark):
+    """Keys of 40 images: together, what meets at once and what is made of the rest is all pairs."""
+    rows = spark.createDataFrame([(k, i, k) for k in range(3) for i in range(40)] + [(9, i, 9) for i in range(5)], "key long, id long, i int")
+    found = media.meetings(rows)
+    labels = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    large = found.where("key is not null").select("key", F.col("a").alias("id"), "i")
+    got = {tuple(r) for r in found.where("key is null").select("a", "b", "i").union(media.apart(large, labels)).collect()}
+    assert got == {(a, b, k) for k in range(3) for b in range(40) for a in range(b)} | {(a, b, 9) for b in range(5) for a in range(b)}
+    media_part, media.PART = media.PART, 7
+    try:
+        assert {tuple(r) for r in media.apart(large, labels).collect()} == {(a, b, k) for k in range(3) for b in range(40) for a in range(b)} - {(0, 1, k) for k in range(3)}
+    finally:
+        media.PART = media_part
+
+
 def test_media_with_clashing_columns_ties_and_repeated_rows(spark):
     pic = media.write_pgm(media.picture(3))
     rows = [(5, pic, "d", 1), (5, pic, "d", 1), (None, pic, "x", 2), (7, pic, None, 3), (8, None, "q", 4), (9, media.write_pgm(np.full((64, 64), 7)), "q", 4)]
