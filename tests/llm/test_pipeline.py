@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table, each against what it must keep."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import packing
@@ -45,3 +46,19 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_personal_data_is_learnt_from_all_documents(spark, tmp_path):
+    """Sixty right numbers among 30,000 documents are enough to learn from; half of them, which a sample of the documents holds, are not."""
+    rng = np.random.default_rng(31)
+    checked = lambda n: sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(n)))) % 10 == 0
+    card = lambda: next(n for n in (str(rng.integers(10**15, 10**16)) for _ in range(10**6)) if checked(n))
+    other = lambda: next(n for n in (str(rng.integers(10**15, 10**16)) for _ in range(10**6)) if not checked(n))
+    two = f"{card()} {card()} both"
+    texts = [f"sent with {card()} today" for _ in range(60)] + [f"sent with {other()} today" for _ in range(60)] + [two]
+    some = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    plain = spark.range(1000, 31_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words "), F.col("id").cast("string")).alias("text"))
+    out = corpus_pipeline.pii_stage(spark, some.unionByName(plain.withColumn("n_chars", F.length("text").cast("long"))), str(tmp_path))
+    assert out.count() == 30_121
+    assert out.where("doc_id = 120").first().text == "[CARD] [CARD] both"
+    assert all(r.text == "sent with [CARD] today" if r.doc_id < 60 else r.text == texts[r.doc_id] for r in out.where("doc_id < 120").collect())
