@@ -126,7 +126,7 @@ def score(evidence: DataFrame, sites: DataFrame, threshold: float = 0.5) -> Data
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, carry: bool = False, **how) -> DataFrame:
     """Every document's score; with carry, all columns of docs come along, whose names must not be those of the scores."""
     model = fit(docs, labels, **how)
-    evidence = cut(with_evidence(docs, model, carry), "evidence")
+    evidence = cut(with_evidence(docs, model, carry), "evidence", "zstd" if carry else None)
     return score(evidence, posteriors(evidence), threshold)
 
 

@@ -1,5 +1,8 @@
 """The pipeline's stages on a small table, each against what it must keep."""
 
+from pathlib import Path
+from urllib.parse import unquote, urlparse
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -62,3 +65,18 @@ def test_personal_data_is_learnt_from_all_documents(spark, tmp_path):
     assert out.count() == 30_121
     assert out.where("doc_id = 120").first().text == "[CARD] [CARD] both"
     assert all(r.text == "sent with [CARD] today" if r.doc_id < 60 else r.text == texts[r.doc_id] for r in out.where("doc_id < 120").collect())
+
+
+def test_texts_that_lie_through_later_stages_are_written_small(spark, tmp_path):
+    rng = np.random.default_rng(32)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(2000)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 400)), "en", "s", 2800) for i in range(400)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    own = corpus_pipeline._apart(docs, "doc_id", "text", "source", "lang")
+    judged = corpus_pipeline.quality.classify(own, corpus_pipeline.table(spark, str(tmp_path), "labels"), carry=True)
+    size = lambda df: sum(Path(unquote(urlparse(f).path)).stat().st_size for f in df.inputFiles())
+    assert judged.count() == 400
+    assert size(judged.select("text")) < 0.8 * size(docs)
