@@ -3,10 +3,12 @@
 Base spans come from four patterns, leftmost and non-overlapping, each match then kept or dropped whole. Generators of high
 recall propose more, which may overlap: anything around an @, any run of digits with separators, single numbers and phone
 numbers inside such runs (which the patterns lose where two stand side by side), and long runs of letters with digits. Boosted trees over the
-candidates' format and context score them. They are trained from all candidates of half of the documents: a candidate that overlaps a base
-span counts as good, and a long run does if a word for a secret stands before it, which its features don't show. On the other half
-each generator gets its own threshold: midway between the least score that reached a set precision and the next one, or
-even odds; without enough good ones it adds nothing. Chosen candidates that overlap no base span are added.
+candidates' format and context score them. They are trained from all candidates of all documents: a candidate that overlaps a base
+span counts as good, a single number or phone number also if it would be one on its own (beside another number the patterns judge both as
+one run), and a long run does if a word for a secret stands before it, which its features don't show. Each generator
+gets its own threshold from all candidates too, each scored by trees that the other half of the documents trained: midway between
+the least score that reached a set precision and the next one, or even odds; without enough good ones it adds nothing. Chosen
+candidates that overlap no base span are added.
 
 A column of spans is an array of struct(kind, start, end, bstart, bend): code points, end exclusive, and the same in UTF-8 bytes, ordered by
 kind as in KINDS, then start. Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; a
@@ -140,13 +142,21 @@ def features(m: str, left: str, after: str, generator: int) -> list[str]:
 N_FEATURES = 18
 
 
+def alone(m: str, generator: int) -> str:
+    """A single number or phone number would be a base span if nothing stood beside it."""
+    kind = GENERATORS[generator][0]
+    if kind == "card":
+        return f"(length({m}) between 13 and 19 and {luhn(m)})"
+    return f"({m} rlike {quoted('^' + chr(92) + '+[0-9]')} and length({digits(m)}) between 9 and 15)" if kind == "phone" else "false"
+
+
 def with_candidates(docs: DataFrame) -> DataFrame:
     """Adds _candidates: places, features x, base (whether a base span overlaps) and good (what training takes it for)."""
 
     def fields_of(g: int):
         def fields(m: str, left: str, after: str, start: str, end: str) -> str:
             base = f"exists(_base, b -> b.start < {end} and b.`end` > {start})"
-            good = f"{left} rlike {quoted(SECRET_CUE)}" if g == SECRET else base
+            good = f"{left} rlike {quoted(SECRET_CUE)}" if g == SECRET else f"({base} or {alone(m, g)})"
             return f"'g', {g}, 'x', array({', '.join(features(m, left, after, g))}), 'base', {base}, 'good', {good}"
 
         return fields
@@ -211,8 +221,8 @@ def as_sql(tree, x: str) -> str:
 
 
 def described(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct descriptions of the candidates of all documents, in order, and for each the numbers of (all, good) ones in the documents
-    that train, then in the others: a document's half is a bit of its hash."""
+    """Distinct descriptions of the candidates of all documents, in order, and for each the numbers of (all, good) ones in the first half
+    of the documents, then in the second: a document's half is a bit of its hash."""
     half = F.shiftright(F.xxhash64("doc_id", "text"), 20).bitwiseAND(F.lit(1))
     found = with_candidates(with_base(docs.select("doc_id", "text"))).select(half.alias("half"), F.explode_outer("_candidates").alias("c")).where("c is not null")
     counts = [F.count(F.when((F.col("half") == i) & good, 1)) for i in (0, 1) for good in (F.lit(True), F.col("c.good"))]
@@ -226,18 +236,27 @@ def described(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, precision: float = 0.98) -> tuple[float, list, list[float]]:
-    """(start, trees, thresholds by generator as log-odds), from all candidates of all documents. Half of the documents train the trees,
-    the others set the thresholds. Equal descriptions are counted together by the tasks; the driver holds the distinct ones only."""
+    """(start, trees, thresholds by generator as log-odds), from all candidates of all documents. The trees train on all of them. For the
+    thresholds each half is scored by trees of the other, whose candidates count twice, so that log-odds are of the size that all
+    together give. Equal descriptions are counted together by the tasks; the driver holds the distinct ones only."""
     x, counted = described(docs)
-    learn, others = counted[:, 0] > 0, counted[:, 2] > 0
-    if not learn.any() or not others.any():
+    every, right = counted[:, 0::2].T, counted[:, 1::2].T  # by half
+    if not every.any(axis=1).all():
         return 0.0, [], [math.inf] * len(GENERATORS)
-    start, trees = boost(x[learn], counted[learn, 1].astype(float), n=counted[learn, 0].astype(float))
-    x, every, right = x[others], counted[others, 2], counted[others, 3]
-    z = start + sum(at(t, x) for t in trees)
+
+    def trained(n: np.ndarray, y: np.ndarray) -> tuple[float, list]:
+        return boost(x[n > 0], y[n > 0].astype(float), n=n[n > 0].astype(float))
+
+    unseen = np.empty(every.shape)
+    for half in (0, 1):
+        start, trees = trained(2 * every[1 - half], 2 * right[1 - half])
+        unseen[half] = start + sum(at(t, x) for t in trees)
+    start, trees = trained(every.sum(0), right.sum(0))
+    there = every > 0
+    generator, z, every, right = np.broadcast_to(x[:, 0], there.shape)[there], unseen[there], every[there], right[there]
     limits = []
     for g in range(len(GENERATORS)):
-        own = x[:, 0] == g
+        own = generator == g
         if not own.any():
             limits.append(math.inf)
             continue

@@ -216,6 +216,23 @@ def test_trees_of_counted_rows_are_those_of_single_rows():
     assert sum(pii.at(t, rows) for t in single) == pytest.approx(sum(pii.at(t, rows) for t in counted))
 
 
+def test_trees_and_thresholds_come_from_both_halves(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.unique(np.column_stack([rng.integers(0, 3, 90), rng.integers(0, 9, (90, pii.N_FEATURES - 1))]), axis=0)
+    n = rng.integers(0, 30, (len(x), 2))
+    good = np.where(x[:, 3:4] > 4, n, rng.binomial(n, 0.1))
+    model = {}
+    for halves in ((0, 1), (1, 0)):
+        counted = np.column_stack([c for half in halves for c in (n[:, half], good[:, half])])
+        monkeypatch.setattr(pii, "described", lambda _, c=counted: (x, c))
+        model[halves] = pii.fit(None)
+    assert model[0, 1] == model[1, 0]
+    start, trees, limits = model[0, 1]
+    seen = n.sum(1) > 0
+    assert (start, trees) == pii.boost(x[seen], good.sum(1)[seen].astype(float), n=n.sum(1)[seen].astype(float))
+    assert len(limits) == len(pii.GENERATORS) and any(math.isfinite(t) for t in limits)
+
+
 def test_trees_learn_and_equal_their_numbers():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 10, (600, 4)).astype(float)

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import packing
+from lodestone.llm import packing, pii
 
 
 def test_stages_take_effect_and_keep_columns(spark, tmp_path):
@@ -67,6 +67,20 @@ def test_personal_data_is_learnt_from_all_documents(spark, tmp_path):
     assert all(r.text == "sent with [CARD] today" if r.doc_id < 60 else r.text == texts[r.doc_id] for r in out.where("doc_id < 120").collect())
 
 
+def test_personal_data_is_learnt_from_both_halves_of_the_documents(spark, tmp_path):
+    """Thirty right numbers are enough to learn from, though neither half of the documents holds the twenty that a threshold needs."""
+    rng = np.random.default_rng(33)
+    checked = lambda n: sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(n)))) % 10 == 0
+    some = lambda right: next(n for n in (str(rng.integers(10**15, 10**16)) for _ in range(10**6)) if checked(n) == right)
+    texts = [f"sent with {some(i < 30)} today" for i in range(60)] + [f"{some(True)} {some(True)} both"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    x, counted = pii.described(docs)
+    good = counted[x[:, 0] == 2][:, [1, 3]].sum(0)
+    assert good.sum() == 32 and good.max() < 20  # the two of the last document would be numbers if they stood alone
+    out = {r.doc_id: r.text for r in corpus_pipeline.pii_stage(spark, docs, str(tmp_path)).collect()}
+    assert out == {i: "sent with [CARD] today" if i < 30 else t for i, t in enumerate(texts[:60])} | {60: "[CARD] [CARD] both"}
+
+
 def test_texts_that_lie_through_later_stages_are_written_small(spark, tmp_path):
     rng = np.random.default_rng(32)
     vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(2000)]
